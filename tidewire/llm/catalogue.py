@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_lines
+from . import q_lines, q_lookalike
 
-MODULES = [q_lines]
+MODULES = [q_lookalike, q_lines]
 
 
 def queries() -> dict:
