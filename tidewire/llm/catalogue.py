@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_lines, q_lookalike
+from . import q_lines, q_lookalike, q_tokens
 
-MODULES = [q_lookalike, q_lines]
+MODULES = [q_lookalike, q_lines, q_tokens]
 
 
 def queries() -> dict:
