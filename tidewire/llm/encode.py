@@ -31,11 +31,11 @@ HOT_WORDS = 200_000
 TOKENIZER = "byte_bpe_50k.json"
 
 # Unicode's White_Space, spelled out because Java's \s is ASCII only.
-_WS = r"\t-\r \x85\xA0  -     　"
+_WS = r"\t-\r \x85" + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # Fixed value: the split pattern of the byte-level vocabulary.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: A noncharacter (class Cn), so it never stands in a text that is split.
-_MARK = "￿"
+_MARK = chr(0xFFFF)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

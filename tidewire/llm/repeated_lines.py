@@ -30,7 +30,7 @@ MIN_DOCUMENTS = 6
 BROADCAST_LINES = 300_000
 
 # Characters without a visible form, beside Unicode's format class (Cf).
-INVISIBLE = r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠍ㅤ︀-️ﾠ]"
+INVISIBLE = r"[\p{Cf}" + "".join(map(chr, [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x180E), 0x3164, *range(0xFE00, 0xFE10), 0xFFA0])) + "]"
 
 
 def comparison_text(text: Column) -> Column:
