@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_lines, q_lookalike, q_places, q_quality, q_survivor, q_tokens
+from . import q_body, q_lines, q_lookalike, q_places, q_quality, q_survivor, q_tokens
 
-MODULES = [q_places, q_lookalike, q_survivor, q_lines, q_tokens, q_quality]
+MODULES = [q_places, q_lookalike, q_survivor, q_body, q_lines, q_tokens, q_quality]
 
 
 def queries() -> dict:
