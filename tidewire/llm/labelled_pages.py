@@ -75,7 +75,7 @@ BODY = {
 FURNITURE = {
     "en": {
         "menu": ["Home World Regions Markets Science Weather Video|Sign in", "Front page|Latest|Politics|Business|Climate|Sport|More", "Start|News|Opinion|Live map|Archive|My account", "Menu|Search|Newsletters|Podcasts|Jobs"],
-        "notice": ["We and our partners store information on your device to measure how {s} is read. You can change your choice at any time.", "This site keeps small files in your browser so that pages load faster. Read more in our cookie notice.", "Your privacy matters to us at {s}: choose which purposes you allow.", "{s} uses cookies. Accept all – Reject all – Settings", "By reading on you agree that small files are kept in your browser."],
+        "notice": ["We and our partners store information on your device to measure how {s} is read. You can change your choice at any time.", "This site keeps small files in your browser so that pages load faster. Read more in our cookie notice.", "This site keeps small files in your browser so that pages load faster and notices match your interests; by reading on you agree to this.", "Your privacy matters to us at {s}: choose which purposes you allow.", "{s} uses cookies. Accept all – Reject all – Settings", "By reading on you agree that small files are kept in your browser."],
         "by": ["By the {s} foreign desk", "From our data team at {s}", "{s} correspondents in the region", "Reporting by {s} staff, editing by the night desk", "{s}, international desk"],
         "time": ["Updated {h}:{m} · {n} min read", "Published {d}.{o}.2026, {h}:{m}", "Last change: {h}:{m}"],
         "ad": ["Advertisement", "Sponsored", "Story continues below this notice", "Paid content"],
@@ -149,6 +149,8 @@ FURNITURE = {
         "footer": ["关于我们|联系方式|法律声明|隐私|无障碍", "广告合作|加入{s}|帮助|网站地图"],
     },
 }
+#: Words of invented places; no model learns them as words.
+PLACE_WORDS = {x.casefold() for x in _LATIN} | {(a + b).casefold() for a in _LATIN for b in ("fest", "bal", "nuth", "gol")}
 _TOPICS = ["politics", "economy", "health", "science", "transport", "society", "disaster", "technology"]
 _TAGS = {"head": "h1", "para": "p", "sub": "h2", "item": "li", "quote": "blockquote"}
 
@@ -217,7 +219,8 @@ def pages(count: int = PAGES, seed: int = 5) -> list[dict]:
             elif r < 0.55:
                 role = rng.choice(["ad", "letter", "share", "teaser", "ad", "comment", "notice"])
                 add(role, teaser() if role == "teaser" else fill(rng.choice(fur[role])))
-            add("para", (" " if lang != "zh" else "").join(sentence() for _ in range(rng.randint(1, 4))), True)
+            if rng.random() < 0.9:
+                add("para", (" " if lang != "zh" else "").join(sentence() for _ in range(rng.randint(1, 4))), True)
         # Notices and prompts stand anywhere in the story, also between list items.
         inside = made[start:]
         del made[start:]
@@ -246,7 +249,7 @@ def pages(count: int = PAGES, seed: int = 5) -> list[dict]:
                 text = f"<{_TAGS[role]}>{text}</{_TAGS[role]}>" if role in _TAGS else f"<div class=\"c{rng.randint(1, 99)}\">{text}</div>"
             elif markup < 0.3:
                 tag = _TAGS.get(role) or {"menu": "nav", "legal": "footer", "teaserhead": "h4", "time": "time", "by": "span", "teaser": "aside", "tags": "p"}.get(role, "div")
-                text = f"<{tag}>{text}</{tag}>"
+                text = f"<{tag}>{text}</{tag}>" if role not in ("menu", "teaser") or rng.random() < 0.5 else f'<li><a href="/x">{text}</a></li>'
             if rng.random() < 0.15:
                 lines.append("")
                 labels.append(None)

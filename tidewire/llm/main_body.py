@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled_pages import PAGES, pages
+from .labelled_pages import PAGES, PLACE_WORDS, pages
 from .lookalike import expand
 
 #: Words that occur in fewer labelled lines have no weight of their own.
@@ -83,7 +83,8 @@ class Page:
 
     __slots__ = ("blocks", "numbers", "position", "rows", "words")
 
-    def __init__(self, title: str | None, source: str | None, lines: list[str]) -> None:
+    def __init__(self, title: str | None, source: str | None, lines: list[str], common: frozenset[str] = frozenset()) -> None:
+        """``common``: words that are no names even where they begin with a capital."""
         self.numbers: list[int] = []
         texts: list[str] = []
         tags: list[str] = []
@@ -125,15 +126,15 @@ class Page:
         ends = [_ENDS.search(t) is not None for t in texts]
         has_source = [source_text != "" and source_text in x for x in low]
         spelled = [_WORD.findall(t) for t in texts]
-        # Prose: whole sentences of some length that do not speak of the paper itself.
-        prose = [e and not s and not u and len(t) >= (18 if z else 48) for t, e, s, z, u in zip(texts, ends, has_source, cjk, caps)]
-        names = [None if u else self._names(t, z, w) for t, z, w, u in zip(texts, cjk, spelled, caps)]
+        names = [None if u else self._names(t, z, w, common) for t, z, w, u in zip(texts, cjk, spelled, caps)]
+        # Prose: whole sentences that name someone or are long, and do not speak of the paper itself.
+        prose = [e and not s and not u and len(t) >= ((14 if z else 36) if m else (27 if z else 70)) for t, e, s, z, u, m in zip(texts, ends, has_source, cjk, caps, names)]
         counts: dict[str, int] = {}
         for i in range(n):
             if prose[i]:
                 for x in names[i]:
                     counts[x] = counts.get(x, 0) + 1
-        title_names = self._names(_clean(title), _CJK.search(title) is not None, _WORD.findall(_clean(title))) if title else set()
+        title_names = self._names(_clean(title), _CJK.search(title) is not None, _WORD.findall(_clean(title)), common) if title else set()
         core = {x for x, c in counts.items() if c >= 2 or x in title_names} | {x for x in title_names if x in counts} or title_names
         has_core = [not core.isdisjoint(m if m is not None else [w.casefold() for w in ws]) for m, ws in zip(names, spelled)]
         real = [i for i in range(n) if prose[i] and has_core[i]] or [i for i in range(n) if prose[i]]
@@ -182,11 +183,11 @@ class Page:
             self.position.append(3 if prose[i] else 0 if before else 1 if between else 2)
 
     @staticmethod
-    def _names(text: str, cjk: bool, words: list[str]) -> set[str]:
-        """Names a line mentions: capitalised words; the parts around the dot of transcribed names."""
+    def _names(text: str, cjk: bool, words: list[str], common: frozenset[str]) -> set[str]:
+        """Names a line mentions: capitalised words that are not common; the parts around the dot of transcribed names."""
         if cjk:
             return {a + b for a, b in _NAME_ZH.findall(text)}
-        return {w.casefold() for w in words if len(w) >= 3 and w[0].isupper() and not w.isupper()}
+        return {c for w in words if w[0].isupper() and len(w) >= 3 and not w.isupper() and (c := w.casefold()) not in common}
 
     @staticmethod
     def _lexical(found: list[str], cjk: bool, low: str) -> list[str]:
@@ -221,17 +222,16 @@ def _logits(forms: np.ndarray, line_at: np.ndarray, word_at: np.ndarray, value:
 def train(count: int = PAGES) -> dict:
     """Line model and parent-child potentials from ``count`` labelled pages."""
     labelled = pages(count)
-    made = [Page(x["title"], x["source_name"], x["lines"]) for x in labelled]
-    y = np.array([float(x["labels"][no]) for x, p in zip(labelled, made) for no in p.numbers])
     seen: dict[str, int] = {}
-    for p in made:
-        for words in p.words:
-            for w in set(words):
+    for x in labelled:
+        for line in x["lines"]:
+            clean = _clean(_TAG.sub(" ", line))
+            for w in set(Page._lexical(_WORD.findall(clean), _CJK.search(clean) is not None, clean.casefold())):
                 seen[w] = seen.get(w, 0) + 1
-    from .labelled_pages import _LATIN
-
-    invented = {x.casefold() for x in _LATIN}
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, c in seen.items() if c >= LEAST_LINES and w not in invented))}
+    vocabulary = {w: i for i, w in enumerate(sorted(w for w, c in seen.items() if c >= LEAST_LINES and w not in PLACE_WORDS))}
+    common = frozenset(vocabulary)
+    made = [Page(x["title"], x["source_name"], x["lines"], common) for x in labelled]
+    y = np.array([float(x["labels"][no]) for x, p in zip(labelled, made) for no in p.numbers])
     forms, line_at, word_at, value = _matrix(made, vocabulary)
     w_forms, w_words = np.zeros(forms.shape[1]), np.zeros(len(vocabulary))
     m = [np.zeros_like(w_forms), np.zeros_like(w_words)]
@@ -261,7 +261,7 @@ def train(count: int = PAGES) -> dict:
         at += n
     prior = np.array([1 - y.mean(), y.mean()])
     return {
-        "forms": w_forms, "words": w_words, "vocabulary": vocabulary, "prior": np.log(prior),
+        "forms": w_forms, "words": w_words, "vocabulary": vocabulary, "common": common, "prior": np.log(prior),
         "to_block": np.log(to_block / to_block.sum(1, keepdims=True)), "to_line": np.log(to_line / to_line.sum(2, keepdims=True)),
     }
 
@@ -308,7 +308,7 @@ def line_marginals(docs: DataFrame, id_col: str = "article_id", text_col: str =
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 ids, titles, sources, texts = (c.to_pylist() for c in batch.slice(start, BATCH).columns)
-                made = [Page(t, s, x.split("\n")) for t, s, x in zip(titles, sources, texts)]
+                made = [Page(t, s, x.split("\n"), m["common"]) for t, s, x in zip(titles, sources, texts)]
                 p = marginals(made, m)
                 counts = [len(x.numbers) for x in made]
                 yield pa.RecordBatch.from_pydict({
@@ -339,7 +339,7 @@ def main_bodies(docs: DataFrame, threshold: float = 0.5, id_col: str = "article_
             for start in range(0, len(pdf), BATCH):
                 part = pdf.iloc[start : start + BATCH]
                 split = [x.split("\n") if isinstance(x, str) else [] for x in part["text"]]
-                made = [Page(t, s, x) for t, s, x in zip(part["t"], part["s"], split)]
+                made = [Page(t, s, x, m["common"]) for t, s, x in zip(part["t"], part["s"], split)]
                 p, at = marginals(made, m), 0
                 for text, lines, page in zip(part["text"], split, made):
                     n = len(page.numbers)
