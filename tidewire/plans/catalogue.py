@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import core_training
+from . import core_training, serving
 
-FLAGSHIP = "p5_kinds"
+FLAGSHIP = "country_hotspots"
 
-MODULES = [core_training]
+MODULES = [core_training, serving]
 
 
 def queries() -> dict:
