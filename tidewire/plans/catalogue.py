@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import core_training, serving
+from . import articles, core_training, serving
 
 FLAGSHIP = "country_hotspots"
 
-MODULES = [core_training, serving]
+MODULES = [core_training, serving, articles]
 
 
 def queries() -> dict:
