@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import articles, core_training, serving
+from . import analytics, articles, core_training, serving
 
 FLAGSHIP = "country_hotspots"
 
-MODULES = [core_training, serving, articles]
+MODULES = [core_training, serving, articles, analytics]
 
 
 def queries() -> dict:
