@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import analytics, articles, core_training, serving
+from . import analytics, articles, core_training, matching, serving
 
 FLAGSHIP = "country_hotspots"
 
-MODULES = [core_training, serving, articles, analytics]
+MODULES = [core_training, serving, articles, analytics, matching]
 
 
 def queries() -> dict:
