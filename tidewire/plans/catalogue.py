@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import analytics, articles, core_training, matching, serving
+from . import analytics, articles, core_training, matching, serving, streams, topics
 
 FLAGSHIP = "country_hotspots"
 
-MODULES = [core_training, serving, articles, analytics, matching]
+MODULES = [core_training, serving, articles, analytics, matching, topics, streams]
 
 
 def queries() -> dict:
