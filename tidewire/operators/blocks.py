@@ -20,11 +20,12 @@ def differing_pairs(rows: DataFrame, group: list[str], id_col: str, value: str,
     Groups with one value are left out before anything is paired. A row with a
     null group column belongs to no group.
     """
+    rows = rows.select(*group, F.col(id_col).alias("_id"), F.col(value).alias("_value"))
     for c in group:
         rows = rows.filter(F.col(c).isNotNull())
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).filter("_lo <> _hi")
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")).filter("_lo <> _hi")
     sizes = sizes.select(*group, F.expr(f"cast(ceil(_n / {block}) as bigint)").alias("_nb"))
-    blocked = rows.join(sizes, group).withColumn("_blk", F.expr(f"pmod(xxhash64({id_col}), _nb)"))
-    left = blocked.select(*group, F.col(id_col).alias("id_a"), F.col(value).alias("_va"), F.col("_blk").alias("_ba"), F.explode(F.expr("sequence(0L, _nb - 1)")).alias("_bb"))
-    right = blocked.select(*group, F.col(id_col).alias("id_b"), F.col(value).alias("_vb"), F.col("_blk").alias("_bb"), F.explode(F.expr("sequence(0L, _nb - 1)")).alias("_ba"))
+    blocked = rows.join(sizes, group).withColumn("_blk", F.expr("pmod(xxhash64(_id), _nb)"))
+    left = blocked.select(*group, F.col("_id").alias("id_a"), F.col("_value").alias("_va"), F.col("_blk").alias("_ba"), F.explode(F.expr("sequence(0L, _nb - 1)")).alias("_bb"))
+    right = blocked.select(*group, F.col("_id").alias("id_b"), F.col("_value").alias("_vb"), F.col("_blk").alias("_bb"), F.explode(F.expr("sequence(0L, _nb - 1)")).alias("_ba"))
     return left.join(right, [*group, "_ba", "_bb"]).filter("id_a < id_b and _va <> _vb").select(*group, "id_a", "id_b")

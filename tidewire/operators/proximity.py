@@ -61,8 +61,8 @@ def article_locations(articles: DataFrame, id_col: str = "article_id") -> DataFr
         id_col, "b",
         F.expr("coalesce(try_cast(get(xy, 0) as double), try_cast(coalesce(g.lng, g.lon) as double))").alias("gx"),
         F.expr("coalesce(try_cast(get(xy, 1) as double), try_cast(g.lat as double))").alias("gy"),
-        F.expr("case when size(b) = 4 and b[0] between -180 and 180 and b[2] between -180 and 180 and b[1] between -90 and 90 and b[3] between -90 and 90"
-               " then b[0] + if(b[0] > b[2], b[2] + 360 - b[0], b[2] - b[0]) / 2 end").alias("bx"),
+        F.expr("case when size(b) = 4 and get(b, 0) between -180 and 180 and get(b, 2) between -180 and 180 and get(b, 1) between -90 and 90 and get(b, 3) between -90 and 90"
+               " then get(b, 0) + if(get(b, 0) > get(b, 2), get(b, 2) + 360 - get(b, 0), get(b, 2) - get(b, 0)) / 2 end").alias("bx"),
         F.expr("(get(b, 1) + get(b, 3)) / 2").alias("by"),
         F.col("e.lng").alias("ex"), F.col("e.lat").alias("ey"),
     )
