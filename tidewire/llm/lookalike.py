@@ -206,8 +206,11 @@ def canonical_texts(texts: DataFrame, text_col: str) -> DataFrame:
     )
     rebuilt = fixes.withColumn("_w", F.expr(f"transform(split(_t, r'{BLANKS}'), (w, i) -> coalesce(fix[i], w))"))
     rebuilt = rebuilt.select("_t", F.expr("array_join(filter(_w, w -> w <> ''), ' ')").alias("_fixed"))
+    # Whatever columns the texts bring, these two names are not among them.
+    rebuilt = rebuilt.select(F.col("_t").alias("__same_look_text"), F.col("_fixed").alias("__same_look_form"))
     blanks = F.trim(F.regexp_replace(F.col(text_col), BLANKS, " "))
-    return texts.join(rebuilt, texts[text_col] == rebuilt["_t"], "left").withColumn("canonical", F.coalesce("_fixed", blanks)).drop("_t", "_fixed")
+    joined = texts.join(rebuilt, F.col(text_col) == F.col("__same_look_text"), "left")
+    return joined.withColumn("canonical", F.coalesce("__same_look_form", blanks)).drop("__same_look_text", "__same_look_form")
 
 
 def same_look_pairs(texts: DataFrame, id_col: str, field_col: str, text_col: str) -> DataFrame:
