@@ -18,10 +18,13 @@ TITLE_STOPWORDS = [
 # Publishers whose name may end a title.
 TITLE_SUFFIX = r"(?i)\s*[-|–—]\s*(?:bbc|reuters|ap|cnn|guardian|aljazeera|nhk|dw|france\s*24|ndtv|scmp|cna|xinhua|global\s*times|afp|nyt|wsj|ft)\s*(?:news|world)?\s*$"
 
+#: Blanks of any kind; Java's \s knows the ASCII ones only.
+BLANKS = r"[\s\p{Z}]+"
+
 
 def strip_tags(text: Column) -> Column:
     """Without tags, blanks collapsed, trimmed; null where nothing is left."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", ""), r"\s+", " "))
+    t = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", ""), BLANKS, " "))
     return F.nullif(t, F.lit(""))
 
 
@@ -33,7 +36,7 @@ def unescape_entities(text: pd.Series) -> pd.Series:
 
 def clean_html(text: Column) -> Column:
     """Entities first, then tags as blanks, blanks collapsed; null where nothing is left."""
-    t = F.regexp_replace(F.regexp_replace(unescape_entities(text), r"<[^>]+>", " "), r"\s+", " ")
+    t = F.regexp_replace(F.regexp_replace(unescape_entities(text), r"<[^>]+>", " "), BLANKS, " ")
     return F.nullif(F.trim(t), F.lit(""))
 
 
@@ -55,7 +58,7 @@ def truncate(text: Column, size: int, suffix: str = "...") -> Column:
 
 def first_paragraph(text: Column, size: int = 600) -> Column:
     """Lede: up to the first sentence mark (tried in a fixed order) whose head is longer than 15 characters."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"\s+", " "))
+    t = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), BLANKS, " "))
     heads = []
     for mark in ["。", "！", "？", ". ", "! ", "? "]:
         head = F.trim(F.substring_index(t, mark, 1))
@@ -67,7 +70,7 @@ def normal_title(title: Column) -> Column:
     """Without publisher and punctuation, lower case, single blanks."""
     t = F.regexp_replace(F.trim(title), TITLE_SUFFIX, "")
     t = F.regexp_replace(t, r"(?U)[^\w\s\x{4e00}-\x{9fff}]", " ")
-    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(t, BLANKS, " ")))
 
 
 def title_hash(title: Column) -> Column:

@@ -122,7 +122,7 @@ _TOK = "regexp_extract_all(lower(trim(regexp_replace(regexp_replace(trim(title),
 _STOP = ", ".join(f"'{w}'" for w in T.TITLE_STOPWORDS)
 _TRACK = ", ".join(f"'{w}'" for w in V.TRACKING)
 SQL = {
-    "clean_summaries": "SELECT article_id, CASE WHEN length(s) > 60 THEN rtrim(substr(s, 1, 57)) || '...' ELSE s END AS summary FROM (SELECT article_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(summary, 'https?://\\S+', '', 'g'), '\\S+@\\S+\\.\\S+', '', 'g'), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')), '') AS s FROM news_articles)",
+    "clean_summaries": "SELECT article_id, CASE WHEN length(s) > 60 THEN rtrim(substr(s, 1, 57)) || '...' ELSE s END AS summary FROM (SELECT article_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(summary, 'https?://\\S+', '', 'g'), '\\S+@\\S+\\.\\S+', '', 'g'), '<[^>]+>', '', 'g'), '[\\s\\pZ]+', ' ', 'g')), '') AS s FROM news_articles)",
     "item_hashes": "SELECT article_id, sha256(concat_ws('|', coalesce(url, ''), coalesce(title, ''))) AS item_hash FROM news_articles",
     "title_token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOK}) AS token FROM news_articles WHERE language = 'en' AND title IS NOT NULL) WHERE length(token) > 1 AND token NOT IN ({_STOP}) GROUP BY token ORDER BY n DESC, token LIMIT 50",
     "keywords_per_category": "SELECT category, CAST(rank AS INT) AS rank, word, n FROM (SELECT category, word, n, row_number() OVER (PARTITION BY category ORDER BY n DESC, word) AS rank FROM (SELECT category, word, count(*) AS n FROM (SELECT category, unnest(regexp_extract_all(lower(title), '[a-z]{4,}')) AS word FROM news_articles WHERE language = 'en' AND category IS NOT NULL AND title IS NOT NULL) GROUP BY ALL)) WHERE rank <= 5",
