@@ -12,7 +12,7 @@ REGIONS = [
 ]
 NAMES = [
     ("New Bakevañ", "QA", "QA.01"), ("Province of New Bakevan", "QA", "QA.01"), ("N. Bakevañ", "QA", "QA.01"), ("Bakevan, New", "QA", "QA.01"), ("NewBakevan", "QA", "QA.01"), ("New Bakevañ, Vandoria", "QA", "QA.01"), ("new  bakevn", "QA", "QA.01"),
-    ("НОВЫЙ БАКЕВАН", "QA", "QA.01"), ("新巴科瓦省", "QA", "QA.01"), ("新 巴科瓦", "QA", "QA.01"), ("南瓦国新巴科瓦", "QA", "QA.01"), ("新巴科瓦 / New Bakevan", None, "QA.01"), ("QA.02", "QA", "QA.2"), ("qa-2", "QA", "QA.2"), ("S. Zedonuth (region)", "QA", "QA.2"),
+    ("НОВЫЙ БАКЕВАН", "QA", "QA.01"), ("新巴科瓦省", "QA", "QA.01"), ("新巴科瓦（省）", "QA", "QA.01"), ("Zikadoth地区", "QB", "QB.01"), ("齊卡多", "QB", "QB.01"), ("新 巴科瓦", "QA", "QA.01"), ("南瓦国新巴科瓦", "QA", "QA.01"), ("新巴科瓦 / New Bakevan", None, "QA.01"), ("QA.02", "QA", "QA.2"), ("qa-2", "QA", "QA.2"), ("S. Zedonuth (region)", "QA", "QA.2"),
     ("Nth Zedonuth prov.", "QA", "QA.03"), ("Siligur Sobosesur", "QA", "QA.04"), ("Siligr-Sobosesur", "QA", "QA.04"), ("Zikadoth", "QB", "QB.01"), ("Zikadoth", "QC", "QC.01"), ("Zikadoth", None, "UNMATCHED"), ("St. Togavel", "QB", "QB.05"), ("SaintTogael", "QB", "QB.05"),
     ("the Saint Togavel area", "QB", "QB.05"), ("Ｓａｉｎｔ Тogavel​", "QB", "QB.05"), ("Togavel City", "QB", "UNMATCHED"), ("Offshore", "QA", "UNMATCHED"), ("unknown", None, "UNMATCHED"), ("?", "QA", "UNMATCHED"), ("", "QA", "UNMATCHED"), (None, "QA", "UNMATCHED"),
     ("Zikadoth", "QA", "UNMATCHED"), ("全国", "QB", "UNMATCHED"), ("word " * 5000, "QA", "UNMATCHED"),
