@@ -26,7 +26,7 @@ def _per_source(spark: SparkSession, sf_dir: str, hours: int = 24 * 90) -> DataF
     )
     sources = table(spark, sf_dir, "news_sources").select("code", "name", "source_tier", "is_active")
     counts = ["n_articles", "n_timed", "n_tagged", "n_placed", "n_low_signal", "n_events", "heat_total", "n_fine"]
-    joined = sources.join(small_side(articles), "code", "left").join(small_side(by_event), "code", "left")
+    joined = sources.join(articles, "code", "left").join(by_event, "code", "left")  # both one row a source
     return joined.fillna(0, counts)
 
 

@@ -133,9 +133,10 @@ def hottest_per_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intensity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Countries in seven bands of a log-scaled mix of heat and number of events."""
     heat = country_heat(event_places(spark, sf_dir), table(spark, sf_dir, "news_events"))
-    top = heat.agg(F.max("heat_total").alias("h"), F.max("event_count").alias("c"))
+    one = W.partitionBy(F.lit(1))  # one row a country
+    heat = heat.withColumns({"h": F.max("heat_total").over(one), "c": F.max("event_count").over(one)})
     part = lambda x, m: F.when(F.col(m) > 0, F.log1p(x) / F.log1p(m)).otherwise(0.0)
-    score = heat.join(F.broadcast(top)).withColumn("score", F.round(0.68 * part("heat_total", "h") + 0.32 * part("event_count", "c"), 9))  # top is one row
+    score = heat.withColumn("score", F.round(0.68 * part("heat_total", "h") + 0.32 * part("event_count", "c"), 9))
     return score.select("country_code", F.least(F.lit(6), F.floor(F.col("score") * 7)).cast("int").alias("band"))
 
 
