@@ -20,6 +20,8 @@ TITLE_SUFFIX = r"(?i)\s*[-|–—]\s*(?:bbc|reuters|ap|cnn|guardian|aljazeera|nh
 
 #: Blanks of any kind; Java's \s knows the ASCII ones only.
 BLANKS = r"[\s\p{Z}]+"
+#: What is neither letter, number, underscore nor blank; Java's \w knows ASCII only.
+NO_WORD = r"[^\p{L}\p{N}_\s\p{Z}]"
 
 
 def strip_tags(text: Column) -> Column:
@@ -69,7 +71,7 @@ def first_paragraph(text: Column, size: int = 600) -> Column:
 def normal_title(title: Column) -> Column:
     """Without publisher and punctuation, lower case, single blanks."""
     t = F.regexp_replace(F.trim(title), TITLE_SUFFIX, "")
-    t = F.regexp_replace(t, r"(?U)[^\w\s\x{4e00}-\x{9fff}]", " ")
+    t = F.regexp_replace(t, NO_WORD, " ")
     return F.lower(F.trim(F.regexp_replace(t, BLANKS, " ")))
 
 
@@ -80,8 +82,8 @@ def title_hash(title: Column) -> Column:
 
 def sorted_words_hash(title: Column) -> Column:
     """Hash of a title's words in order of the alphabet."""
-    t = F.regexp_replace(F.lower(title), r"(?U)[^\w\s]", "")
-    return F.md5(F.array_join(F.array_sort(F.filter(F.split(t, r"\s+"), lambda w: w != "")), " "))
+    t = F.regexp_replace(F.lower(title), NO_WORD, "")
+    return F.md5(F.array_join(F.array_sort(F.filter(F.split(t, BLANKS), lambda w: w != "")), " "))
 
 
 def title_tokens(title: Column) -> Column:
