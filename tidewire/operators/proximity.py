@@ -155,11 +155,13 @@ def containing_regions(points: DataFrame, shapes: DataFrame, cell: float = REGIO
     point is also offered one turn further east.
     """
     regions = region_edges(shapes)
-    covered = regions.select(
-        "key", "edges",
-        F.explode(F.expr(f"sequence(cast(floor(box.w / {cell}) as int), cast(floor(box.e / {cell}) as int))")).alias("cx"), "box",
-    ).select("key", "edges", "cx", F.explode(F.expr(f"sequence(cast(floor(box.s / {cell}) as int), cast(floor(box.n / {cell}) as int))")).alias("cy"))
+    # Cells carry the key alone; edges follow once per candidate, not once per cell.
+    covered = (
+        regions.select("key", "box", F.explode(F.expr(f"sequence(cast(floor(box.w / {cell}) as int), cast(floor(box.e / {cell}) as int))")).alias("cx"))
+        .select("key", "cx", F.explode(F.expr(f"sequence(cast(floor(box.s / {cell}) as int), cast(floor(box.n / {cell}) as int))")).alias("cy"))
+    )
     located = points.select("lat", "lng", F.explode(F.expr("if(lng < 0, array(lng, lng + 360), array(lng))")).alias("x"))
     located = located.withColumn("cx", F.expr(f"cast(floor(x / {cell}) as int)")).withColumn("cy", F.expr(f"cast(floor(lat / {cell}) as int)"))
     inside = "size(filter(edges, e -> (e.y1 > lat) <> (e.y2 > lat) and x < (e.x2 - e.x1) * (lat - e.y1) / (e.y2 - e.y1) + e.x1)) % 2 = 1"
-    return located.join(covered, ["cx", "cy"]).filter(inside).select("lat", "lng", "key").distinct()
+    candidates = located.join(covered, ["cx", "cy"]).select("lat", "lng", "x", "key")
+    return candidates.join(regions.select("key", "edges"), "key").filter(inside).select("lat", "lng", "key").distinct()
