@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..session import cut
 
 #: Hours an event is open for further items.
 LOOKBACK_H = 72
@@ -87,22 +88,70 @@ def enrichment_score(hours: Column, shared: Column, km: Column, has_point: Colum
     return time + F.when(shared, 0.25).otherwise(0.0) + F.coalesce(near, F.lit(0.0)) + F.when(is_disaster, 0.08).otherwise(0.0)
 
 
+#: What Python's str.split takes for blanks.
+SPLIT_BLANKS = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root): the least id of the connected component of each id that has an edge and is not its root itself.
+
+    edges: (u, v) of longs. Large and small stars in turn, so a long chain takes few rounds.
+    """
+    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        e = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = cut(e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
+            return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        mark = now
+
+
+def alike_groups(items: DataFrame, threshold: float = 0.6, hours: int = 24) -> DataFrame:
+    """items with ``group``: items of different groups are never alike within ``hours``, whatever their source or day.
+
+    items: (item_id, at, title). Equal word sets of one window are one row.
+    Sets at or above the threshold share a word among their rarest
+    size - threshold * size + 1, so those words and the window (or the next)
+    are the keys of an equi-join; groups are the components of its verified pairs.
+    """
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("title"), SPLIT_BLANKS), lambda w: w != "")))
+    rows = items.withColumn("_w", F.coalesce(words, F.array().cast("array<string>"))).withColumn("_b", F.floor(F.unix_timestamp("at") / (hours * 3600)))
+    sets = cut(rows.filter(F.size("_w") > 0).groupBy("_w", "_b").agg(F.min("item_id").alias("_id")))
+    each = sets.select("_id", F.explode("_w").alias("_k"))
+    ranked = each.join(each.groupBy("_k").agg(F.count("*").alias("_n")), "_k").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_k"))).alias("_r"))
+    rare = ranked.select("_id", F.explode(F.expr(f"slice(_r, 1, cast(size(_r) - ceil({threshold}D * size(_r) - 1e-9D) + 1 as int))")).alias("_x")).select("_id", "_x._k")
+    keyed = cut(rare.join(sets, "_id"))
+    later = keyed.select("_k", "_b", F.col("_id").alias("u"), F.col("_w").alias("_wu"))
+    earlier = keyed.select("_k", F.explode(F.array("_b", F.col("_b") + 1)).alias("_b"), F.col("_b").alias("_bv"), F.col("_id").alias("v"), F.col("_w").alias("_wv"))
+    a, b = F.size("_wu"), F.size("_wv")
+    pairs = later.join(earlier, ["_k", "_b"]).filter("_bv < _b or v < u").filter(F.least(a, b) >= (threshold - 1e-9) * F.greatest(a, b))
+    shared = F.size(F.array_intersect("_wu", "_wv"))
+    roots = components(pairs.filter(shared >= (threshold - 1e-9) * (a + b - shared)).select("u", "v"))
+    named = sets.join(roots.withColumnRenamed("id", "_id"), "_id", "left").select("_w", "_b", F.coalesce("root", "_id").alias("group"))
+    return rows.join(named, ["_w", "_b"], "left").withColumn("group", F.coalesce("group", "item_id")).drop("_w", "_b")
+
+
 def fold_clusters(items: DataFrame, threshold: float = 0.6, hours: int = 24) -> DataFrame:
     """(item_id, cluster_id): items in order of time join the first cluster whose first item is alike and near in time.
 
     items: (group, item_id, at, title). The order matters, so each group is
     folded in Python; a window of ``hours`` bounds what an item is compared
-    with. A group is one source or country and day range, chosen by the caller
-    so that it fits one task.
+    with. Groups are chosen by the caller, see ``alike_groups``; those of one
+    item need no fold, and one task folds many.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "item_id"])
-        heads: list[tuple[int, pd.Timestamp, set[str]]] = []
+        live: dict[object, list[tuple[int, pd.Timestamp, set[str]]]] = {}
         out = []
-        for item, at, title in zip(pdf["item_id"], pdf["at"], pdf["title"]):
+        for group, item, at, title in zip(pdf["group"], pdf["item_id"], pdf["at"], pdf["title"]):
             words = set((title or "").lower().split())
-            heads = [h for h in heads if (at - h[1]).total_seconds() <= hours * 3600]
+            heads = live[group] = [h for h in live.get(group, []) if (at - h[1]).total_seconds() <= hours * 3600]
             found = next((h[0] for h in heads if words and h[2] and len(words & h[2]) / len(words | h[2]) >= threshold), None)
             if found is None:
                 heads.append((item, at, words))
@@ -110,7 +159,10 @@ def fold_clusters(items: DataFrame, threshold: float = 0.6, hours: int = 24) ->
             out.append((item, found))
         return pd.DataFrame(out, columns=["item_id", "cluster_id"])
 
-    return items.groupBy("group").applyInPandas(fold, "item_id long, cluster_id long")
+    sized = cut(items.join(items.groupBy("group").agg(F.count("*").alias("_n")), "group"))
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = sized.filter("_n > 1").drop("_n").groupBy(F.pmod(F.xxhash64("group"), F.lit(parts))).applyInPandas(fold, "item_id long, cluster_id long")
+    return many.unionByName(sized.filter("_n = 1").select(F.col("item_id").cast("long"), F.col("item_id").cast("long").alias("cluster_id")))
 
 
 def merge_by_key(stored: DataFrame, incoming: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..operators import alike_titles
 from ..operators import matching as M
 from ..operators.proximity import article_locations
 from ..session import small_side, table
@@ -62,15 +63,14 @@ def alert_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of alike titles of one source and day, in order of time."""
-    a = _articles(spark, sf_dir).filter("title is not null and crawled_at is not null and source_code is not null")
-    return M.fold_clusters(a.select(F.concat_ws("/", F.lower("source_code"), F.to_date("crawled_at").cast("string")).alias("group"), F.col("article_id").alias("item_id"), F.col("crawled_at").alias("at"), "title"))
+    """Clusters of alike titles within 24 hours, over all sources, in order of time."""
+    a = _articles(spark, sf_dir).filter("title is not null and crawled_at is not null")
+    return M.fold_clusters(M.alike_groups(a.select(F.col("article_id").alias("item_id"), F.col("crawled_at").alias("at"), "title")))
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First kept article of alike titles within a source and day."""
-    a = _articles(spark, sf_dir).filter("title is not null and crawled_at is not null and source_code is not null")
-    return M.near_duplicate_fold(a.select(F.concat_ws("/", F.lower("source_code"), F.to_date("crawled_at").cast("string")).alias("block"), F.col("article_id").alias("item_id"), "title"))
+    """First kept article of alike titles, over all sources and days."""
+    return alike_titles.near_duplicates(_articles(spark, sf_dir).filter("title is not null").select(F.col("article_id").alias("item_id"), "title"))
 
 
 def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
