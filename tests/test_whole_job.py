@@ -54,3 +54,12 @@ def test_near_duplicates_of_all_sources_and_days(spark, tmp_path):
     assert {r.item_id: r.kept_id for r in matching.near_duplicates(spark, str(tmp_path)).collect()} == want
     items = df.select(F.col("article_id").alias("item_id"), "title")
     assert {r.item_id: r.kept_id for r in alike_titles.near_duplicates(items, chunk=40).collect()} == want
+
+
+def test_title_jaccard_of_every_language(spark, tmp_path):
+    titles = [(1, "en", "Port talks resume"), (2, "zh", "新医院动工 2026"), (3, "de", "Port Gespräche resume"), (4, None, "Port talks"), (5, "en", None)]
+    spark.createDataFrame(titles, "article_id long, language string, title string").write.parquet(str(tmp_path / "news_articles.parquet"))
+    spark.createDataFrame([(1, "Port talks resume"), (2, "新医院动工"), (3, None)], "event_id long, title string").write.parquet(str(tmp_path / "news_events.parquet"))
+    spark.createDataFrame([(1, 1), (1, 1), (2, 2), (1, 3), (1, 4), (1, 5), (3, 1)], "event_id long, article_id long").write.parquet(str(tmp_path / "event_articles.parquet"))
+    # "Gespräche" is read as gespr and che: the tokens are runs of a-z, digits and Chinese characters
+    assert {(r.event_id, r.article_id): r.overlap for r in matching.title_jaccard(spark, str(tmp_path)).collect()} == {(1, 1): 1.0, (2, 2): 0.5, (1, 3): 0.4, (1, 4): 0.666667}

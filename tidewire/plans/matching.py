@@ -100,8 +100,8 @@ def region_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token overlap of each linked article's title with its event's title."""
-    a = _articles(spark, sf_dir).filter("language = 'en'").select("article_id", F.col("title").alias("t"))
+    """Token overlap of each linked article's title with its event's title, in every language."""
+    a = _articles(spark, sf_dir).select("article_id", F.col("title").alias("t"))
     e = table(spark, sf_dir, "news_events").select("event_id", F.col("title").alias("et"))
     return links(spark, sf_dir).join(a, "article_id").join(e, "event_id").filter("t is not null and et is not null").select("event_id", "article_id", F.round(T.jaccard(T.title_tokens(F.col("t")), T.title_tokens(F.col("et"))), 6).alias("overlap"))
 
