@@ -63,3 +63,10 @@ def test_title_jaccard_of_every_language(spark, tmp_path):
     spark.createDataFrame([(1, 1), (1, 1), (2, 2), (1, 3), (1, 4), (1, 5), (3, 1)], "event_id long, article_id long").write.parquet(str(tmp_path / "event_articles.parquet"))
     # "Gespräche" is read as gespr and che: the tokens are runs of a-z, digits and Chinese characters
     assert {(r.event_id, r.article_id): r.overlap for r in matching.title_jaccard(spark, str(tmp_path)).collect()} == {(1, 1): 1.0, (2, 2): 0.5, (1, 3): 0.4, (1, 4): 0.666667}
+
+
+def test_title_tokens_of_every_language(spark, tmp_path):
+    titles = [("en", "Port talks"), ("zh", "新医院 动工"), ("de", "Port Talks"), (None, "the port 动工"), ("ru", None)]
+    spark.createDataFrame(titles, "language string, title string").write.parquet(str(tmp_path / "news_articles.parquet"))
+    got = [(r.token, r.n) for r in articles.title_token_counts(spark, str(tmp_path)).collect()]
+    assert got == [("port", 3), ("talks", 2), ("动工", 2), ("新医院", 1)]

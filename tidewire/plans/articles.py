@@ -43,8 +43,8 @@ def title_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_token_counts(spark: SparkSession, sf_dir: str, top: int = 50) -> DataFrame:
-    """Most frequent telling tokens of titles."""
-    words = _a(spark, sf_dir).filter("language = 'en'").select(F.explode(T.title_tokens(F.col("title"))).alias("token"))
+    """Most frequent telling tokens of titles, of every language."""
+    words = _a(spark, sf_dir).select(F.explode(T.title_tokens(F.col("title"))).alias("token"))
     return words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(top)
 
 
