@@ -70,3 +70,12 @@ def test_title_tokens_of_every_language(spark, tmp_path):
     spark.createDataFrame(titles, "language string, title string").write.parquet(str(tmp_path / "news_articles.parquet"))
     got = [(r.token, r.n) for r in articles.title_token_counts(spark, str(tmp_path)).collect()]
     assert got == [("port", 3), ("talks", 2), ("动工", 2), ("新医院", 1)]
+
+
+def test_region_mentions_by_every_name_and_text(spark, tmp_path):
+    regions = [("A", "Nord Pas Calais", "Nord Pas Calais", "诺尔省", ["诺尔", "Hauts"]), ("B", "L'Aquila", "L'Aquila", None, ["ラクイラ", ""]), ("C", "Kôši", "Kosi", "高西达", ["ネフ・ケディ", "Коши"]), ("D", "Abc", None, "", None)]
+    spark.createDataFrame(regions, "geojson_key string, admin1_name string, admin1_name_ascii string, admin1_name_zh string, aliases array<string>").write.parquet(str(tmp_path / "admin1_regions.parquet"))
+    texts = [(1, "Storm in nord pas  calais", None, "Hauts"), (2, "昨日诺尔发生地震", "在高西达附近", "诺尔省"), (3, "x", "y", "Quake near l’aquila and Коши."), (4, "今日のラクイラで", "ネフ･ケディの", None), (5, "xabc北京", "诺，尔", "Nord Calais"), (6, None, None, None)]
+    spark.createDataFrame(texts, "article_id long, title string, summary string, content string").write.parquet(str(tmp_path / "news_articles.parquet"))
+    got = {(r.article_id, r.geojson_key, r.position) for r in matching.region_mentions(spark, str(tmp_path)).collect()}
+    assert got == {(1, "A", "title"), (2, "A", "title"), (2, "C", "summary"), (3, "B", "content"), (3, "C", "content"), (4, "B", "title"), (4, "C", "summary")}

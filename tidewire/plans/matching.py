@@ -10,7 +10,7 @@ from ..functions import values as V
 from ..operators import alike_titles
 from ..operators import matching as M
 from ..operators.proximity import article_locations
-from ..session import small_side, table
+from ..session import cut, small_side, table
 from .articles import SQL as _ARTICLE_SQL
 from .articles import tokens_sql
 from .common import event_places, links
@@ -85,18 +85,40 @@ def behind_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("cursor_at"), F.max_by("event_id", F.struct("ts", "event_id")).alias("cursor_id"))
 
 
+#: Scripts written without blanks between words, and the dots inside their names.
+_CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30fc]"
+_DOTS = r"[\u00b7\u2022\u2027\u30fb\uff65]"
+_IN_RUN = r"[\p{L}\p{M}\p{N}\u00b7]"
+
+
 def region_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of the dictionary whose name stands in an article's title or summary, with the first place it stands.
+    """Regions of the dictionary of which a name or alias stands in an article's title, summary or content, with the first place it stands.
 
-    Word groups of the texts meet the dictionary in an equi-join; texts are
-    never searched name by name.
+    Word groups of the texts, up to the longest name, meet the dictionary in an
+    equi-join, and so do the substrings of runs in scripts without blanks;
+    texts are never searched name by name.
     """
-    names = table(spark, sf_dir, "admin1_regions").select("geojson_key", F.explode(F.array_distinct(F.array("admin1_name", "admin1_name_ascii"))).alias("name")).filter("name is not null and name <> ''").select("geojson_key", F.lower("name").alias("gram")).distinct()
-    words = lambda c: F.split(F.lower(F.trim(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}-]+", " "))), " ")
-    texts = _articles(spark, sf_dir).select("article_id", F.explode(F.expr("array(struct(0 as place, title as text), struct(1 as place, summary as text))")).alias("x")).select("article_id", "x.place", words(F.col("x.text")).alias("w")).filter("w is not null")
-    grams = texts.select("article_id", "place", F.explode(F.expr("array_distinct(concat(w, transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat_ws(' ', w[i - 1], get(w, i)))))")).alias("gram"))
-    hits = grams.join(small_side(names), "gram").groupBy("article_id", "geojson_key").agg(F.min("place").alias("place"))
-    return hits.select("article_id", "geojson_key", F.when(F.col("place") == 0, "title").otherwise("summary").alias("position"))
+    words = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}-]+", " "))
+    runs = lambda c: F.regexp_replace(F.lower(c), _DOTS, "\u00b7")
+    names = table(spark, sf_dir, "admin1_regions").select("geojson_key", F.explode(F.concat(F.array("admin1_name", "admin1_name_ascii", "admin1_name_zh"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    names = names.withColumn("run", runs(F.trim("name"))).withColumn("inside", F.col("run").rlike(rf"^{_IN_RUN}+$") & F.col("run").rlike(_CJK))
+    names = cut(names.select("geojson_key", "inside", F.when(F.col("inside"), F.col("run")).otherwise(words(F.col("name"))).alias("gram")).filter("gram <> ''").distinct())
+    sizes = names.select("inside", F.when(F.col("inside"), F.length("gram")).otherwise(F.size(F.split("gram", " "))).alias("n")).distinct().collect()
+    counts = lambda inside: f"cast(array({', '.join(str(n) for n in sorted(r.n for r in sizes if r.inside == inside))}) as array<int>)"
+    texts = _articles(spark, sf_dir).select("article_id", F.explode(F.expr("array(struct(0 as place, title as text), struct(1 as place, summary as text), struct(2 as place, content as text))")).alias("x")).select("article_id", "x.place", "x.text").filter("text is not null")
+    grams = []
+    if not all(r.inside for r in sizes) or not sizes:
+        grams.append(texts.select("article_id", "place", F.split(words(F.col("text")), " ").alias("w")).select("article_id", "place", F.lit(False).alias("inside"), F.explode(F.expr(f"array_distinct(flatten(transform({counts(False)}, n -> if(size(w) < n, cast(array() as array<string>), transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))))))")).alias("gram")))
+    if any(r.inside for r in sizes):
+        each = texts.filter(F.col("text").rlike(_CJK)).select("article_id", "place", F.explode(F.array_distinct(F.regexp_extract_all(runs(F.col("text")), F.lit(f"{_IN_RUN}*{_CJK}{_IN_RUN}*"), F.lit(0)))).alias("r"))
+        grams.append(each.select("article_id", "place", F.lit(True).alias("inside"), F.explode(F.expr(f"array_distinct(flatten(transform({counts(True)}, n -> if(length(r) < n, cast(array() as array<string>), transform(sequence(1, length(r) - n + 1), i -> substring(r, i, n))))))")).alias("gram")))
+    near = small_side(names)
+    hits = None
+    for g in grams:
+        found = g.join(near, ["inside", "gram"]).select("article_id", "geojson_key", "place")
+        hits = found if hits is None else hits.unionByName(found)
+    first = hits.groupBy("article_id", "geojson_key").agg(F.min("place").alias("place"))
+    return first.select("article_id", "geojson_key", F.when(F.col("place") == 0, "title").when(F.col("place") == 1, "summary").otherwise("content").alias("position"))
 
 
 def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
