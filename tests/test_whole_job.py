@@ -79,3 +79,13 @@ def test_region_mentions_by_every_name_and_text(spark, tmp_path):
     spark.createDataFrame(texts, "article_id long, title string, summary string, content string").write.parquet(str(tmp_path / "news_articles.parquet"))
     got = {(r.article_id, r.geojson_key, r.position) for r in matching.region_mentions(spark, str(tmp_path)).collect()}
     assert got == {(1, "A", "title"), (2, "A", "title"), (2, "C", "summary"), (3, "B", "content"), (3, "C", "content"), (4, "B", "title"), (4, "C", "summary")}
+
+
+def test_bare_code_that_many_countries_share(spark):
+    from tidewire.llm import place_match
+
+    codes = [f"Q{c}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"] + [f"X{c}" for c in "ABCD"]
+    regions = [(c, c, "7", f"Zedonuth{c}ba", None, None, None, f"{c}.7") for c in codes]
+    ref = spark.createDataFrame(regions, "country_code string, country_name string, admin1_code string, admin1_name string, admin1_name_ascii string, admin1_name_zh string, aliases array<string>, geojson_key string")
+    entries = spark.createDataFrame([("7", "QC"), ("7", "XD"), ("7", None)], "name string, country_code string")
+    assert {(r.country_code, r.geojson_key) for r in place_match.map_entries(entries, ref).collect()} == {("QC", "QC.7"), ("XD", "XD.7"), (None, "UNMATCHED")}

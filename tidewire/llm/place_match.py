@@ -37,7 +37,7 @@ from .lookalike import table_form
 
 #: Soft TF-IDF score from which on an entry counts as meant.
 THRESHOLD = 0.78
-#: Entries a token may stand in and still propose candidates; commoner tokens only score.
+#: Entries of a country a token may stand in and still propose candidates; commoner tokens propose only spellings that have no other.
 TELLING = 25
 UNMATCHED = "UNMATCHED"
 
@@ -225,10 +225,14 @@ def match_names(names: DataFrame, reference: DataFrame, threshold: float = THRES
     best = repairs.join(vocab, "vtok").groupBy("token").agg(F.max_by("idf", F.struct("sim", "idf")).alias("w"))
     norms = qt.join(small_side(best), "token", "left").groupBy("rid").agg(F.sqrt(F.sum(F.pow(F.coalesce("w", F.lit(unknown)), 2))).alias("qnorm"))
     paths = qt.join(repairs, "token").select("rid", "qcc", "token", "vtok", "sim")
-    telling = spellings.groupBy("token").agg(F.count_distinct("key").alias("n")).filter(F.col("n") <= TELLING).select(F.col("token").alias("vtok"))
+    telling = spellings.groupBy("country_code", "token").agg(F.count_distinct("key").alias("n")).filter(F.col("n") <= TELLING).select("country_code", F.col("token").alias("vtok"))
     entries = spellings.select("vid", "key", "country_code", F.col("token").alias("vtok"), "idf", "norm")
+    tokens = entries.select("vid", "country_code", "vtok")
+    proposing = tokens.join(small_side(telling), ["country_code", "vtok"]).select("vid", "country_code", "vtok")
+    # A spelling of common tokens alone is proposed by all of them.
+    proposing = cut(proposing.unionByName(tokens.join(proposing.select("vid").distinct(), "vid", "left_anti")))
     seeds = (
-        paths.join(small_side(telling), "vtok").join(small_side(entries.select("vid", "country_code", "vtok")), "vtok")
+        paths.join(small_side(proposing), "vtok")
         .filter("qcc is null or qcc = country_code").select("rid", "vid").distinct()
     )
     dots = (
