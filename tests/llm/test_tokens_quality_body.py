@@ -1,14 +1,16 @@
 import random
+import re
 
 import numpy as np
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewire.llm import encode as E
 from tidewire.llm import main_body as B
 from tidewire.llm import mixture as M
 from tidewire.llm import text_quality as Q
-from tidewire.llm.labelled_pages import pages
+from tidewire.llm.labelled_pages import BODY, FURNITURE, lines_of, pages
 from tidewire.llm.quality_examples import examples
 
 TEXTS = [
@@ -69,36 +71,63 @@ def test_kinds_of_held_out_texts(spark):
     assert s[9001].n_words == s[9003].n_visible == 0 and s[9004].n_words == 40 * 13 and s[9004].line_end_share == 1.0 and s[9004].common_share > 0.3
 
 
+def _right(model, held):
+    made = [B.Page(x["title"], x["source_name"], x["lines"], model["common"]) for x in held]
+    want = [x["labels"][no] for x, p in zip(held, made) for no in p.numbers]
+    return np.mean([(share >= 0.5) == v for share, v in zip(B.marginals(made, model), want) if v is not None])
+
+
 def test_main_body_on_held_out_pages(spark):
     held = pages(150, seed=99)
     rows = [(i, x["title"], x["source_name"], "\n".join(x["lines"]), 5) for i, x in enumerate(held)]
-    rows += [(1000, None, None, None, 5), (1001, "t", "s", "", 5), (1002, None, None, "\n \n", 5), (1003, None, None, "One line.", 5), (1004, "t", "s", "word " * 60_000, 5), rows[0]]
+    rows += [(1000, None, None, None, 5), (1001, "t", "s", "", 5), (1002, None, None, "\n \n", 5), (1003, None, None, "One line.", 5), (1004, "t", "s", "word " * 60_000, 5), (1005, "t", "s", "<div>\n" * 500 + "deep", 5), rows[0]]
     df = spark.createDataFrame(rows, "article_id long, title string, source_name string, content string, line_no int")
     share = {(r.article_id, r.line_no): r.content_share for r in B.line_marginals(df).collect()}
     want = {(i, k): x["labels"][k] for i, x in enumerate(held) for k, line in enumerate(x["lines"]) if line.strip()}
     assert set(want) == {k for k in share if k[0] < 1000}
-    assert np.mean([(share[k] >= 0.5) == v for k, v in want.items()]) > 0.96
+    assert np.mean([(share[k] >= 0.5) == v for k, v in want.items() if v is not None]) > 0.96
     bodies = {r.article_id: r.body for r in B.main_bodies(df).collect()}
-    assert bodies[1000] is None and len(bodies) == len(held) + 5
+    assert bodies[1000] is None and len(bodies) == len(held) + 6
     assert B.line_marginals(df.limit(0)).count() == 0
 
 
+def test_main_body_on_lines_never_met():
+    """Pages none of whose lines is in the training pages."""
+    for part in (0, 1):
+        assert _right(B.train(written=pages(900, part=part)), pages(200, seed=77, part=1 - part)) > 0.8
+
+
+def test_written_pages_are_not_from_the_corpus(spark):
+    text = "\n".join(r.content for r in spark.read.parquet("/root/testdata/sf0.01/news_articles.parquet").select("content").dropna().collect())
+    fragments = {f.strip(" .,:|") for x in lines_of(BODY) + lines_of(FURNITURE) for y in x.split("|") for f in re.split(r"\{\w+\}", y)}
+    assert not [f for f in fragments if len(f) >= 12 and " " in f and f in text]
+
+
+def test_main_body_of_other_sources(spark):
+    """Trained with the marked pages of half of the sources, tested on those of the others."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/news_articles.parquet").filter("content like '%<p%' and source_code is not null").select("article_id", "title", "source_name", "content", F.expr("abs(hash(lower(source_code))) % 2").alias("half"))
+    parts = [B.marked_pages(rows.filter(f"half = {k}"), "article_id", "content", "title", "source_name", 400) for k in (0, 1)]
+    assert _right(B.train(marked=parts[0]), parts[1]) > 0.95
+
+
 def test_messages_equal_enumeration():
-    model = B.train()
-    x = pages(1, seed=3)[0]
-    page = B.Page(x["title"], x["source_name"], x["lines"][:9], model["common"])
+    model = B.train(300)
+    x = next(p for p in pages(40, seed=3) if "<div>" in p["lines"] or "<article>" in p["lines"])
+    page = B.Page(x["title"], x["source_name"], x["lines"][:8], model["common"])
     got = B.marginals([page], model)
     forms, line_at, word_at, value = B._matrix([page], model["vocabulary"])
-    z = np.clip(B._logits(forms, line_at, word_at, value, model), -30, 30)
-    own = np.stack([-np.logaddexp(0, z), -np.logaddexp(0, -z)], 1) - model["prior"]
-    blocks, pos, n = page.blocks, page.position, len(page.numbers)
-    first = {b: pos[blocks.index(b)] for b in set(blocks)}
-    total, content = 0.0, np.zeros(n)
-    for bits in range(2 ** len(first)):
-        state = {b: bits >> k & 1 for k, b in enumerate(sorted(first))}
-        for lines in range(2**n):
-            y = [lines >> k & 1 for k in range(n)]
-            p = np.exp(sum(model["to_block"][first[b], s] for b, s in state.items()) + sum(model["to_line"][pos[k], state[blocks[k]], y[k]] + own[k, y[k]] for k in range(n)))
-            total += p
-            content += p * np.array(y)
+    own = B.own_potentials(forms, line_at, word_at, value, B.Forest([page]), model)
+    n, total, content = len(page.kinds), 0.0, np.zeros(len(page.leaf))
+    assert max(page.depths) >= 4
+    text_of = {node: k for k, node in enumerate(page.leaf)}
+    for bits in range(2**n):
+        s = [bits >> k & 1 for k in range(n)]
+        p = model["root"][s[0]] + sum(model["psi"][page.kinds[k], s[page.parents[k]], s[k]] for k in range(1, n)) + sum(own[t, s[node]] for node, t in text_of.items())
+        total += np.exp(p)
+        content += np.exp(p) * np.array([s[node] for node in page.leaf])
     assert np.allclose(got, content / total, atol=1e-6)
+
+
+def test_labels_of_markup():
+    lines = ["<nav>Menu</nav>", "<p>Text</p>", '<li><a href="/">Other</a></li>', "<li>Item</li>", "plain", "<div>Share</div>", '<p>With a <a href="/">link</a>.</p>', "<div>", ""]
+    assert B.markup_labels(lines) == [False, True, False, True, None, False, True, None, None]
