@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from tidewire.llm import lookalike as L
 from tidewire.llm import repeated_lines as R
@@ -39,7 +40,7 @@ def test_repeated_lines_equal_brute_force(spark):
 
 SAME = [
     ("coöperative", "cöoperative".replace("cöo", "coö")), ("flood plan", "ﬂood plan"), ("Chapter IV", "Chapter Ⅳ"), ("open", "ｏｐｅｎ"), ("traders", "traԁers"), ("Совет", "Cовет"), ("Совет", "СовеΤ".replace("Τ", "т")),
-    ("山火 12", "⼭⽕  12"), ("a b", " a ​b "), ("Kelvin", "Kelvin"), ("étude", "étude"), ("Fähre", "ꓝähre"), ("里", "里"), ("office", "oﬃce"), ("a​b", "ab"), ("cop", "сор"),
+    ("山火 12", "⼭⽕  12"), ("a b", " a ​b "), ("Kelvin", "Kelvin"), ("étude", "étude"), ("Fähre", "ꓝähre"), ("里", "里"), ("office", "oﬃce"), ("a​b", "ab"), ("cop", "сор"), ("ѷ", "ѷ"), ("γᾳ", "γᾳ"), ("ПОРТ", "ΠΟΡΤ"), ("a‐b", "a-b"), ("a‑b", "a-b"), ("ở", "ở"),
 ]
 DIFFERENT = [("km²", "km2"), ("café", "cafe"), ("Plan", "plan"), ("plan…", "plan..."), ("l’eau", "l'eau"), ("hits", "hit"), ("ab", "a b"), ("I", "l"), ("0", "O")]
 
@@ -63,6 +64,40 @@ def test_same_look_pairs(spark):
     assert all(forms[2 * k] == forms[2 * k + 1] for k in range(len(SAME)))
 
 
+def test_trie_and_table_agree():
+    """The automaton walks tokens as they stand; the table is another way to the same classes."""
+    rng = random.Random(4)
+    twins = {c: others for c, others in L.LOOKALIKES.items()}
+    words = ["port", "office", "flood", "Chapter", "IV", "coöperative", "Straße", "ở", "ТОРГ", "ποτε", "x"]
+    def disguise(w):
+        out = []
+        for c in w:
+            r = rng.random()
+            out.append(rng.choice(twins[c]) if c in twins and r < 0.4 else chr(ord(c) + 0xFEE0) if "!" <= c <= "~" and r < 0.5 else unicodedata.normalize("NFD", c) if r < 0.7 else c)
+            if rng.random() < 0.1:
+                out.append(rng.choice(["\u200b", "\u00ad", "\ufeff"]))
+        return "".join(out).replace("fi", "ﬁ")
+    trie = L.LookalikeTrie({w: k for k, w in enumerate(words)})
+    forms = {L.table_form(w): w for w in words}
+    for w in words:
+        for _ in range(60):
+            t = disguise(w)
+            assert [m[2] for m in trie.matches(t)] == [forms[L.table_form(t)]] == [w], (w, t)
+    for t in ("ports", "por", "Port", "km²", "cafe"):
+        assert trie.matches(t) == []
+    for w in ("ѷ", "γᾳ"):
+        assert L.LookalikeTrie({w: 5}).matches(w) == [(0, -5, w)]
+
+
+def test_hot_value_and_hot_beginning(spark):
+    rows = [(i, "t", "same text") for i in range(3000)] + [(5000, "t", "ｓame text")] + [(6000 + i, "t", f"https{i}x") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, field string, text string")
+    got = {(r.id_a, r.id_b) for r in L.same_look_pairs(df, "id", "field", "text").collect()}
+    assert got == {(i, 5000) for i in range(3000)}
+    classes = {r.id: (r.look_class, r.n_spellings, r.n_links) for r in L.same_look_classes(df, "id", "field", "text").collect()}
+    assert classes[0] == (0, 2, 1) and classes[5000] == (0, 2, 3000) and classes[6001] == (6001, 1, 0) and len(classes) == len(rows)
+
+
 def test_trie_prefers_frequent_spelling_and_honours_budget():
     trie = L.LookalikeTrie({"port": 5, "роrt".replace("о", "о"): 1, "post": 9, "sport": 2})
     assert trie.matches("роrt")[0] == (0, -5, "port")

@@ -3,19 +3,21 @@
 Texts are split at blanks of any kind and the *distinct* tokens are counted.
 Tokens whose letters belong to one script and that hold no odd forms are
 spellings a writer would use: they are the vocabulary. Per shard of the token
-table a trie of the vocabulary is built and every distinct token is run
-through it with a weighted edit automaton: a look-alike (Cyrillic for Latin,
-full-width for ordinary, ligature for its letters, accent as a mark of its
-own) costs nothing, an ignorable character costs nothing, anything else costs
-one. At the default budget of zero only tokens that look the same are met; the
-most frequent one is the canonical spelling. Tokens that meet none are
-normalised by table. Two tokens look the same exactly if their table forms are
-equal, so the spelling chosen depends on the class alone.
-
-Shards are hashes of the first characters in table form, which tokens that
-look the same share; their number follows the number of distinct tokens, so a
-trie stays bounded. Changed tokens are joined back by broadcast when few, else
-by shuffle.
+table a trie of the vocabulary's characters is built and every distinct token
+is run through it as it stands, character by character, with a weighted edit
+automaton: an edge of the same character or of a look-alike costs nothing
+(Cyrillic for Latin, full-width for ordinary), a character that stands for
+several crosses as many edges (a ligature, a Roman numeral, an accented letter
+against a letter and its mark), an ignorable character stays where it is for
+nothing; anything else costs one. At the default budget of zero only spellings
+that look the same are met; the most frequent one is canonical. Tokens that
+meet none are normalised by table.
+
+A shard is a hash of a token's whole table form, which tokens that look the
+same share and others do not, so neither a frequent beginning nor a frequent
+token fills a shard; the number of shards follows the number of distinct
+tokens and a trie stays bounded. Changed tokens are joined back by broadcast
+when few and short, else by shuffle.
 
 Edge cases: null stays null; empty and blank texts become the empty text;
 ignorable-only tokens vanish; letter case, accents, raised digits and
@@ -37,18 +39,18 @@ from ..session import cut, small_side
 
 #: Distinct tokens one shard (one trie) holds on average.
 SHARD_TOKENS = 20_000
-#: Characters in table form that the shard is a hash of.
-SHARD_PREFIX = 3
 #: Changed tokens up to which they are broadcast.
 BROADCAST_TOKENS = 300_000
 
-# Letters of other scripts that have the look of a Latin letter.
+# Characters that have the look of another; letters of Latin first, then those of Greek
+# that Cyrillic repeats, and hyphens.
 LOOKALIKES = {
-    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰꓓ", "E": "ΕЕᎬ", "F": "ꓝϜ", "G": "Ԍ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫ",
-    "K": "ΚКᏦ", "L": "Ꮮꓡ", "M": "ΜМᎷ", "N": "Νꓠ", "O": "ΟОՕ", "P": "ΡРᏢ", "Q": "Ԛ", "S": "ЅՏ", "T": "ΤТᎢ", "U": "Սꓴ",
-    "V": "Ѵꓦ", "W": "ԜᎳ", "X": "ΧХ", "Y": "ΥҮ", "Z": "ΖᏃ",
-    "a": "аɑα", "b": "Ьᖯ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іɩ", "j": "јϳ", "l": "ӏǀ", "n": "ո", "o": "оοօ",
-    "p": "рρ", "q": "ԛզ", "s": "ѕꜱ", "u": "սʋ", "v": "νѵ", "w": "ԝᴡ", "x": "хᕁ", "y": "уү", "z": "ᴢ",
+    "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "СϹᏟꓚ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "ꓝϜ", "G": "ԌᏀꓖ", "H": "ΗНᎻꓧ", "I": "ΙІӀꓲ", "J": "ЈᎫꓙ",
+    "K": "ΚКᏦꓗ", "L": "Ꮮꓡ", "M": "ΜМᎷꓟ", "N": "Νꓠ", "O": "ΟОՕꓳ", "P": "ΡРᏢꓑ", "Q": "Ԛ", "R": "ᎡᏒꓣ", "S": "ЅՏᏚꓢ", "T": "ΤТᎢꓔ", "U": "Սꓴ",
+    "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ΧХꓫ", "Y": "ΥҮꓬ", "Z": "ΖᏃꓜ",
+    "a": "аɑα", "b": "Ьᖯ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іɩ", "j": "јϳ", "l": "ӏǀ", "n": "ո", "o": "оοօᴏ",
+    "p": "рρ", "q": "ԛզ", "s": "ѕꜱ", "u": "սʋᴜ", "v": "νѵᴠ", "w": "ԝᴡ", "x": "хᕁ", "y": "уү", "z": "ᴢ",
+    "Γ": "Г", "Π": "П", "Φ": "Ф", "κ": "к", "φ": "ф", "-": "‐‑",
 }
 _PROTO = {c: latin for latin, others in LOOKALIKES.items() for c in others}
 
@@ -104,39 +106,44 @@ def plain_spelling(token: str) -> bool:
 class LookalikeTrie:
     """Trie of spellings with a weighted edit automaton over it.
 
-    Costs: 0 for a character of the same look and for an ignorable, 1 for any
-    other substitution, insertion or deletion.
+    Spellings and tokens are taken apart into letters and marks in canonical
+    order, which Unicode holds for the same text. Costs: 0 for an edge whose
+    character is or looks like the token's, 0 for an ignorable of the token, 1
+    for any other substitution, insertion or deletion.
     """
 
     __slots__ = ("root",)
     _END = ""
 
     def __init__(self, spellings: dict[str, int]) -> None:
+        """Nodes lead by the look of an edge to its characters, by the character to the next node."""
         self.root: dict = {}
         for word, n in spellings.items():
             node = self.root
-            for c in word:
-                node = node.setdefault(expand_composed(c), {}).setdefault(c, {})
-            node[self._END] = (n, word)
+            for c in unicodedata.normalize("NFD", word):
+                for look in expand(c):
+                    node = node.setdefault(look, {}).setdefault(c, {})
+            node.setdefault(self._END, []).append((n, word))
 
     def matches(self, token: str, budget: int = 0) -> list[tuple[int, int, str]]:
         """(cost, -count, spelling) of each spelling within ``budget``, best first."""
-        looks = table_form(token)
-        states: dict[int, tuple[int, dict]] = {id(self.root): (0, self.root)}
-        states = self._insertions(states, budget)
-        for look in looks:
-            after: dict[int, tuple[int, dict]] = {}
-            for cost, node in states.values():
-                for child in node.get(look, {}).values() if look in node else ():
-                    self._put(after, cost, child)
-                if cost < budget:
-                    self._put(after, cost + 1, node)  # the token has one character more
-                    for other, children in node.items():
-                        if other and other != look:
-                            for child in children.values():
-                                self._put(after, cost + 1, child)
-            states = self._insertions(after, budget)
-        return sorted((cost, -node[self._END][0], node[self._END][1]) for cost, node in states.values() if self._END in node)
+        states = self._insertions({id(self.root): (0, self.root)}, budget)
+        for c in unicodedata.normalize("NFD", token):
+            for look in expand(c):  # none for an ignorable, several for a character that stands for several
+                after: dict[int, tuple[int, dict]] = {}
+                for cost, node in states.values():
+                    for child in node.get(look, {}).values():
+                        self._put(after, cost, child)
+                    if cost < budget:
+                        self._put(after, cost + 1, node)  # the token has one character more
+                        for other, children in node.items():
+                            if other and other != look:
+                                for child in children.values():
+                                    self._put(after, cost + 1, child)
+                states = self._insertions(after, budget)
+            if not states:
+                return []
+        return sorted((cost, -n, word) for cost, node in states.values() for n, word in node.get(self._END, ()))
 
     def _insertions(self, states: dict, budget: int) -> dict:
         if budget == 0:
@@ -160,24 +167,21 @@ class LookalikeTrie:
         return False
 
 
-def expand_composed(c: str) -> str:
-    """Look of one composed character of a plain spelling."""
-    return table_form(c)
-
-
 def _shard_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        pdf["prefix"] = [table_form(t)[:SHARD_PREFIX] for t in pdf["token"]]
+        pdf["looks"] = [t if t.isascii() else table_form(t) for t in pdf["token"]]
         yield pdf
 
 
 def _canonical_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
     counts = dict(zip(pdf["token"], pdf["n"]))
     trie = LookalikeTrie({t: n for t, n in counts.items() if plain_spelling(t)})
+    met = {token: found[0][2] for token in counts if (found := trie.matches(token))}
+    # Tokens that met no spelling go by table, to the spelling of their look where the table has one.
+    by_look = {table_form(token): canonical for token, canonical in sorted(met.items())}
     out = []
     for token in counts:
-        found = trie.matches(token)
-        canonical = found[0][2] if found else table_form(token)
+        canonical = met.get(token) or by_look.get(looks := table_form(token), looks)
         if canonical != token:
             out.append((token, canonical))
     return pd.DataFrame(out, columns=["token", "canonical"])
@@ -190,9 +194,9 @@ BLANKS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]+"
 def canonical_spellings(texts: DataFrame, text_col: str) -> DataFrame:
     """(token, canonical) of each distinct token whose canonical spelling is another."""
     tokens = texts.filter(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), BLANKS)).alias("token")).filter("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
-    tokens = cut(tokens.mapInPandas(_shard_keys, "token string, n bigint, prefix string"))
+    tokens = cut(tokens.mapInPandas(_shard_keys, "token string, n bigint, looks string").withColumn("look_hash", F.xxhash64("looks")).drop("looks"))
     shards = max(8, -(-tokens.count() // SHARD_TOKENS))
-    return tokens.withColumn("shard", F.expr(f"pmod(xxhash64(prefix), {shards})")).select("shard", "token", "n").groupBy("shard").applyInPandas(_canonical_tokens, "token string, canonical string")
+    return tokens.withColumn("shard", F.expr(f"pmod(look_hash, {shards})")).select("shard", "token", "n").groupBy("shard").applyInPandas(_canonical_tokens, "token string, canonical string")
 
 
 def canonical_texts(texts: DataFrame, text_col: str) -> DataFrame:
@@ -213,7 +217,27 @@ def canonical_texts(texts: DataFrame, text_col: str) -> DataFrame:
     return joined.withColumn("canonical", F.coalesce("__same_look_form", blanks)).drop("__same_look_text", "__same_look_form")
 
 
+def _look_keys(texts: DataFrame, id_col: str, field_col: str, text_col: str) -> DataFrame:
+    """(id, field, c1, c2, v1, v2): 128-bit keys of the canonical form and of the text itself."""
+    forms = canonical_texts(texts.filter(F.col(text_col).isNotNull()), text_col)
+    return cut(forms.select(id_col, field_col, F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit("second"), "canonical").alias("c2"), F.xxhash64(text_col).alias("v1"), F.xxhash64(F.lit("second"), text_col).alias("v2")))
+
+
 def same_look_pairs(texts: DataFrame, id_col: str, field_col: str, text_col: str) -> DataFrame:
     """(field, id_a, id_b) of texts of one field that look the same but differ."""
-    forms = cut(canonical_texts(texts.filter(F.col(text_col).isNotNull()), text_col).select(id_col, field_col, F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit("second"), "canonical").alias("c2"), F.xxhash64(text_col).alias("v")))
-    return differing_pairs(forms, [field_col, "c1", "c2"], id_col, "v").select(field_col, "id_a", "id_b")
+    return differing_pairs(_look_keys(texts, id_col, field_col, text_col), [field_col, "c1", "c2"], id_col, ["v1", "v2"]).select(field_col, "id_a", "id_b")
+
+
+def same_look_classes(texts: DataFrame, id_col: str, field_col: str, text_col: str) -> DataFrame:
+    """(id, field, look_class, n_spellings, n_links): one row per text with the class of its look.
+
+    ``look_class`` is the smallest id of the class, ``n_spellings`` the number
+    of different strings in it, ``n_links`` the number of rows of the class that
+    are another string. Linear in the rows, whatever the size of a class.
+    """
+    keys = _look_keys(texts, id_col, field_col, text_col)
+    values = keys.groupBy(field_col, "c1", "c2", "v1", "v2").agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
+    classes = values.groupBy(field_col, "c1", "c2").agg(F.sum("n").alias("n_all"), F.count("*").alias("n_spellings"), F.min("first").alias("look_class"))
+    sized = values.select(field_col, "c1", "c2", "v1", "v2", "n").join(classes, [field_col, "c1", "c2"])
+    joined = keys.join(sized, [field_col, "c1", "c2", "v1", "v2"])
+    return joined.select(id_col, field_col, "look_class", "n_spellings", (F.col("n_all") - F.col("n")).alias("n_links"))

@@ -24,4 +24,9 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical_texts(_texts(spark, sf_dir), "text").select("article_id", "field", "canonical")
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical}
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title and summary with the class of its look and the number of links to other strings."""
+    return lookalike.same_look_classes(_texts(spark, sf_dir), "article_id", "field", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_classes": p2_classes}
