@@ -323,9 +323,13 @@ def markup_labels(lines: list[str]) -> list[bool | None]:
 
 def marked_pages(docs: DataFrame, id_col: str, text_col: str, title_col: str, source_col: str, count: int = MARKED_PAGES, chars: int = MARKED_CHARS) -> list[dict]:
     """At most ``count`` pages of the corpus with the labels of their own markup, each with and without it."""
-    fit = docs.filter(F.col(text_col).contains("<p") & (F.length(text_col) <= chars)).select(F.col(title_col).alias("t"), F.col(source_col).alias("s"), F.col(text_col).alias("x"), F.xxhash64(id_col).alias("h"))
+    fit = docs.filter(F.col(text_col).contains("<p") & (F.length(text_col) <= chars)).withColumn("_share", F.shiftrightunsigned(F.xxhash64(id_col), 11))
+    # Only a count and then the sampled pages reach the driver, however many tasks read the corpus.
+    n = fit.count()
+    fit = fit.filter(F.col("_share") < F.lit(int(2**53 * min(1.0, 1.2 * count / max(1, n)))))
+    fit = fit.groupBy("_share").agg(F.min(F.struct(F.col(text_col).alias("x"), F.col(title_col).alias("t"), F.col(source_col).alias("s"))).alias("page")).orderBy("_share").limit(count)
     out, seen = [], set()
-    for r in fit.orderBy("h", "x").limit(count).collect():
+    for r in fit.select("page.*").collect():
         lines = r.x.split("\n")
         labels = markup_labels(lines)
         if r.x in seen or len(set(labels) - {None}) < 2:
