@@ -31,6 +31,46 @@ def test_places(spark):
     assert {r.geojson_key for r in P.map_entries(entries, ref.limit(0)).collect()} == {"UNMATCHED"}
 
 
+def test_edits():
+    assert P.edit_distance("bakevan", "bakevna") == 1 and P.edit_distance("abc", "") == 3 and P.edit_distance("ca", "abc") == 3 and P.edit_distance("", "") == 0
+    assert [P.allowed_edits(n) for n in (1, 2, 3, 5, 6, 9, 400)] == [0, 0, 1, 1, 2, 2, 2]
+    for a, b in (("bakevan", "bakevna"), ("zikadoth", "zkiadoth")):
+        assert set(P.deletion_keys(a)) & set(P.deletion_keys(b))
+
+
+def test_random_typos_of_every_kind(spark):
+    """One typo in a word of six letters or more: swap, loss, addition, replacement."""
+    ref = spark.read.parquet("/root/testdata/sf0.01/admin1_regions.parquet")
+    rng = random.Random(6)
+    rows, truth = [], {}
+    for r in ref.select("admin1_name_ascii", "country_code", "geojson_key").dropna().collect():
+        words = r.admin1_name_ascii.split(" ")
+        long = max(range(len(words)), key=lambda k: len(words[k]))
+        w = words[long]
+        if len(w) < 6 or not w.isalpha():
+            continue
+        kind = rng.choice(["swap", "loss", "addition", "replacement"])
+        i = rng.randint(1, len(w) - 2)
+        letter = rng.choice([c for c in "abcdefghijklmnopqrstuvwxyz" if c not in w[i : i + 2]])
+        if kind == "swap" and w[i] == w[i + 1]:
+            kind = "loss"
+        words[long] = {"swap": w[:i] + w[i + 1] + w[i] + w[i + 2 :], "loss": w[:i] + w[i + 1 :], "addition": w[:i] + letter + w[i:], "replacement": w[:i] + letter + w[i + 1 :]}[kind]
+        truth[len(rows)] = (kind, r.geojson_key)
+        rows.append((len(rows), " ".join(words), r.country_code))
+    found = {r.i: r.geojson_key for r in P.map_entries(spark.createDataFrame(rows, "i long, name string, country_code string"), ref).collect()}
+    for kind in ("swap", "loss", "addition", "replacement"):
+        of_kind = [i for i, (k, _) in truth.items() if k == kind]
+        assert len(of_kind) > 25 and np.mean([found[i] == truth[i][1] for i in of_kind]) >= 0.95, kind
+
+
+def test_names_of_common_words_only(spark):
+    """A spelling whose tokens stand in very many entries is still met."""
+    ref = [("QA", "Vandoria", str(k), f"North Lake {k:03d}x", f"North Lake {k:03d}x", None, None, f"QA.{k}") for k in range(60)] + [("QA", "Vandoria", "90", "North Lake", "North Lake", None, None, "QA.90")]
+    ref = spark.createDataFrame(ref, "country_code string, country_name string, admin1_code string, admin1_name string, admin1_name_ascii string, admin1_name_zh string, aliases array<string>, geojson_key string")
+    got = P.map_entries(spark.createDataFrame([("North Lake", "QA"), ("North Lake 007x", "QA")], "name string, country_code string"), ref).collect()
+    assert {r.name: r.geojson_key for r in got} == {"North Lake": "QA.90", "North Lake 007x": "QA.7"}
+
+
 ARTICLES = [
     (1, "u1", "a", " Official ", "2026-01-01T10:00Z", None, ["x"], None), (2, "u1", "B", "social", "2026-01-02T10:00Z", 5, ["x", "y"], []), (3, "u1", "b", None, "bad", 9, None, ["r"]),
     (4, "u2", "a", "Aggregator", "2026-01-01T10:00Z", None, [], None), (5, "u2", "b", "COMMUNITY", "2026-01-01T10:00Z", None, [""], None), (6, "u3", "a", "official", None, 1, ["z"], None), (7, None, "a", "official", None, 1, ["z"], None), (8, None, "a", None, None, 1, None, None),

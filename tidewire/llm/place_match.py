@@ -3,13 +3,15 @@
 Distinct names are read as one or more token lists ("readings"): words without
 type words, the words run together, each side of a slash, Cyrillic spelled in
 Latin. Each *distinct* token is joined to the tokens of the reference list by
-edit distance: an equi-join on deletion keys finds the candidates, the exact
-distance verifies them; abbreviations and Chinese names behind a country's
-name are repairs of their own. The repaired tokens of a reading are combined
-with soft TF-IDF (weights from the reference list) against every spelling of
-every entry that shares a telling token, within the stated country. The best
-entry at or above the threshold wins; a tie between entries and anything below
-is reported as unmatched.
+edit distance, in which two neighbouring letters that change places are one
+edit: an equi-join on deletion keys finds the candidates, the exact distance
+verifies them; abbreviations and Chinese names behind a country's name are
+repairs of their own. The repaired tokens of a reading are combined with soft
+TF-IDF (weights from the reference list) against the spellings of the entries
+within the stated country. A spelling is proposed by its rarest tokens, as many
+as it takes that the others alone cannot reach the threshold; no token is left
+out for being common. The best entry at or above the threshold wins; a tie
+between entries and anything below is reported as unmatched.
 
 Work grows with the number of distinct names; the reference list is the small
 side and is broadcast only up to a checked size. A name that fills a third of
@@ -37,8 +39,11 @@ from .lookalike import table_form
 
 #: Soft TF-IDF score from which on an entry counts as meant.
 THRESHOLD = 0.78
-#: Entries of a country a token may stand in and still propose candidates; commoner tokens propose only spellings that have no other.
-TELLING = 25
+#: Similarity of a repair to the token, and edits, at most.
+ALIKE = 0.66
+EDITS = 2
+#: Of a spelling's squared weight, what tokens that propose nothing may hold, as a share of the squared threshold.
+SLACK = 0.8
 UNMATCHED = "UNMATCHED"
 
 # Words that say what kind of place a name is of.
@@ -126,22 +131,36 @@ def readings(name: str | None, drop: frozenset[str] = frozenset()) -> list[list[
     return out
 
 
+def allowed_edits(n: int) -> int:
+    """Edits a token of ``n`` characters may have and still be alike."""
+    return min(EDITS, int(n * (1 - ALIKE) + 1e-9))
+
+
 def deletion_keys(token: str) -> list[str]:
-    """The token and what is left of it with one character (two from 9 to 40 characters) taken out.
+    """The token and what is left of it without one or two characters, as its length allows.
 
-    Tokens of fewer than 4 letters (3 in Chinese), of more than 400 and with
-    digits are compared as they stand.
+    Tokens with digits are codes and compared as they stand.
     """
-    cjk = bool(re.match(rf"[{_CJK}]", token))
-    n = len(token)
-    depth = 0 if n < (3 if cjk else 4) or n > 400 or any(c.isdigit() for c in token) else 2 if 9 <= n <= 40 else 1
     keys, layer = {token}, {token}
-    for _ in range(depth):
+    for _ in range(0 if any(c.isdigit() for c in token) else allowed_edits(len(token))):
         layer = {w[:i] + w[i + 1 :] for w in layer for i in range(len(w))}
         keys |= layer
     return sorted(keys)
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Edits between two tokens; neighbours that change places are one edit."""
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        older, before, row = before, row, [i]
+        for j, y in enumerate(b, 1):
+            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, older[j - 2] + 1)
+            row.append(cost)
+    return row[-1]
+
+
 def _country_words(reference: DataFrame) -> frozenset[str]:
     rows = reference.select("country_code", "country_name").distinct().collect()  # at most one row a country
     return frozenset(_fold_word(w) for r in rows for c in r if c for w in _WORD.findall(c))
@@ -190,7 +209,11 @@ def token_repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     left = tokens.filter(F.length("token") <= longest + 2).select("token", F.explode(keys("token")).alias("dk"))
     right = vocabulary.select("vtok", F.explode(keys("vtok")).alias("dk"))
     near = left.join(small_side(right), "dk").select("token", "vtok").distinct()
-    near = near.withColumn("sim", 1 - F.levenshtein("token", "vtok") / F.greatest(F.length("token"), F.length("vtok"))).filter("sim >= 0.66")
+    # A change of places is one edit here and two in the plain distance, which therefore only says what is far.
+    near = near.withColumn("far", F.levenshtein("token", "vtok")).filter(f"far <= {2 * EDITS}")
+    swaps = F.pandas_udf(lambda a, b: pd.Series([edit_distance(x, y) for x, y in zip(a, b)], dtype="int32"), T.IntegerType(), F.PandasUDFType.SCALAR)
+    near = near.filter("far < 2").unionByName(near.filter("far >= 2").withColumn("far", swaps("token", "vtok")))
+    near = near.filter(f"far <= {EDITS}").withColumn("sim", 1 - F.col("far") / F.greatest(F.length("token"), F.length("vtok"))).filter(f"sim >= {ALIKE}").drop("far")
     short = tokens.sparkSession.createDataFrame([(_fold_word(a), b, 0.98) for a, bs in SHORT_FORMS.items() for b in bs], "token string, vtok string, sim double")
     short = tokens.join(F.broadcast(short), "token").join(small_side(vocabulary), "vtok").select("token", "vtok", "sim")
     # A Chinese name behind the country's name: the entry's token is the end of the run.
@@ -214,7 +237,7 @@ def match_names(names: DataFrame, reference: DataFrame, threshold: float = THRES
 
     distinct = names.select("name", "country_code").filter("name is not null").distinct()
     read_schema = "name string, country_code string, reading int, tokens array<string>"
-    q = cut(distinct.mapInPandas(read, read_schema).withColumn("rid", F.xxhash64("name", F.coalesce("country_code", F.lit("-")), "reading")))
+    q = cut(distinct.mapInPandas(read, read_schema).withColumn("rid", F.md5(F.concat_ws("\x01", "name", F.coalesce("country_code", F.lit("-")), "reading"))))
     qt = q.select("rid", F.col("country_code").alias("qcc"), F.explode(F.array_distinct("tokens")).alias("token"))
     vocabulary = cut(spellings.select(F.col("token").alias("vtok"), "idf").distinct())
     repairs = cut(token_repairs(qt.select("token").distinct(), vocabulary.select("vtok")))
@@ -225,12 +248,11 @@ def match_names(names: DataFrame, reference: DataFrame, threshold: float = THRES
     best = repairs.join(vocab, "vtok").groupBy("token").agg(F.max_by("idf", F.struct("sim", "idf")).alias("w"))
     norms = qt.join(small_side(best), "token", "left").groupBy("rid").agg(F.sqrt(F.sum(F.pow(F.coalesce("w", F.lit(unknown)), 2))).alias("qnorm"))
     paths = qt.join(repairs, "token").select("rid", "qcc", "token", "vtok", "sim")
-    telling = spellings.groupBy("country_code", "token").agg(F.count_distinct("key").alias("n")).filter(F.col("n") <= TELLING).select("country_code", F.col("token").alias("vtok"))
     entries = spellings.select("vid", "key", "country_code", F.col("token").alias("vtok"), "idf", "norm")
-    tokens = entries.select("vid", "country_code", "vtok")
-    proposing = tokens.join(small_side(telling), ["country_code", "vtok"]).select("vid", "country_code", "vtok")
-    # A spelling of common tokens alone is proposed by all of them.
-    proposing = cut(proposing.unionByName(tokens.join(proposing.select("vid").distinct(), "vid", "left_anti")))
+    # Rarest tokens first; a token proposes while those after it could still reach the threshold with it gone.
+    rest = W.partitionBy("vid").orderBy(F.desc("idf"), "vtok").rowsBetween(0, W.unboundedFollowing)
+    proposing = entries.withColumn("rest", F.sum(F.col("idf") * F.col("idf")).over(rest)).filter(F.col("rest") >= F.lit(SLACK * threshold * threshold) * F.col("norm") * F.col("norm"))
+    proposing = cut(proposing.select("vid", "country_code", "vtok"))
     seeds = (
         paths.join(small_side(proposing), "vtok")
         .filter("qcc is null or qcc = country_code").select("rid", "vid").distinct()
