@@ -29,6 +29,10 @@ def test_encoding_is_the_tokenizers_and_decodes_back(spark):
         assert len(got) == len(rows)
         for r in got:
             assert list(r.ids) == (t.encode(TEXTS[r.doc_id], add_special_tokens=False).ids if TEXTS[r.doc_id] else []), (hot, r.doc_id)
+        sizes = {r.doc_id: r.n_tokens for r in E.token_counts(df, ["doc_id", "word"], hot_words=hot).collect()}
+        assert sizes == {r.doc_id: len(r.ids) for r in got}
+    assert [list(r.ids) for r in E.encode_texts(df, hot_bytes=60).orderBy("doc_id").collect()] == [list(r.ids) for r in E.encode_texts(df).orderBy("doc_id").collect()]
+    assert E.token_counts(df.limit(0), ["doc_id"]).count() == 0
     back = E.decode_ids(E.encode_texts(df)).collect()
     assert len(back) == len(rows) and all(r.text == (TEXTS[r.doc_id] or "") for r in back)
     assert E.encode_texts(df.limit(0)).count() == 0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import table
 from . import encode, mixture
@@ -20,8 +19,7 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", "source").alias("doc"), "text")
-    return encode.encode_texts(docs, "doc").select("doc.doc_id", "doc.source", F.size("ids").alias("n_tokens"))
+    return encode.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"])
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
