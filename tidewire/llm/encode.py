@@ -20,6 +20,8 @@ tables give empty results.
 
 from __future__ import annotations
 
+import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,6 +66,25 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def _single_pieces(path: str):
+    """Encoder of words that are one piece whatever the Unicode version, from the rank file beside a tokenizer's; None where there is none."""
+    ranks = path.removesuffix(".json") + ".tiktoken"
+    if not path.endswith(".json") or not os.path.exists(ranks):
+        return None
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+
+#: Letters that every Unicode version in use knows, with at most one blank before them.
+_PLAIN_WORD = re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[\u4e00-\u9fa5]+|[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[\u0400-\u0481\u048a-\u04ff]+)")
+
+
 def _marked(text: Column) -> Column:
     """The text with a mark after each word; with one before it where it is one word."""
     return F.when(text.rlike(r"\p{Cn}"), F.concat(F.lit(_MARK), text)).otherwise(F.regexp_replace(text, WORDS, "$0" + _MARK))
@@ -95,9 +116,16 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     """``words`` (word, n) with the ids of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
+        t, piece = _tokenizer(path), _single_pieces(path)
         for batch in batches:
-            ids = [e.ids for e in t.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)]
+            words = batch.column(0).to_pylist()
+            if piece is None:
+                ids = [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
+            else:  # the same merges without the tokenizer's own splitting and offsets
+                ids = [piece(w) if _PLAIN_WORD.fullmatch(w) else None for w in words]
+                others = [k for k, x in enumerate(ids) if x is None]
+                for k, e in zip(others, t.encode_batch_fast([words[k] for k in others], add_special_tokens=False)):
+                    ids[k] = e.ids
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
     return words.mapInArrow(run, "word string, n bigint, ids array<int>")
