@@ -127,3 +127,135 @@ def slug(text: Column) -> Column:
 def leading_number(text: Column) -> Column:
     """First run of digits as a number, 0 where there is none."""
     return F.coalesce(F.regexp_extract(text, r"\d+", 0).try_cast("long"), F.lit(0))
+
+
+# Site names and numbers that may end a title.
+SITE_SUFFIX = r"[-_—|]\s*(新浪|腾讯|网易|搜狐|微博|知乎|BBC|CNN|Reuters)$"
+# Endings of names of first-level regions, in the order they are tried.
+REGION_ENDINGS_ZH = ["自治区", "特别行政区", "壮族自治区", "维吾尔自治区", "回族自治区", "藏族自治区", "省", "市", "区", "县", "都", "道", "府", "州"]
+REGION_ENDINGS_EN = [" province", " state", " prefecture", " county", " region", " territory", " district"]
+# Other spellings of source names and of country codes.
+SOURCE_NAMES = {"新浪": "新浪新闻", "新浪网": "新浪新闻", "reuters": "Reuters"}
+COUNTRY_CODES = {"PRC": "CN", "MAINLAND": "CN", "UK": "GB", "AMERICA": "US", "USA": "US"}
+
+
+def plain_html(text: Column) -> Column:
+    """Tags as blanks, blanks collapsed, trimmed; null where nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), BLANKS, " ")), F.lit(""))
+
+
+def clean_title(title: Column) -> Column:
+    """Without tags, a site's name or a number behind a dash at the end; null where nothing is left."""
+    t = F.regexp_replace(F.regexp_replace(plain_html(title), SITE_SUFFIX, ""), r"[-_—|]\s*\d+$", "")
+    return F.nullif(F.trim(t), F.lit(""))
+
+
+def summary_of(content: Column, size: int = 200) -> Column:
+    """Beginning of the text without markup; the whole text counts as one paragraph."""
+    return F.coalesce(truncate(plain_html(content), size), F.lit(""))
+
+
+def without_scripts(page: Column) -> Column:
+    """Markup without scripts, styles and comments; null where nothing is left."""
+    t = page
+    for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->"):
+        t = F.regexp_replace(t, pattern, "")
+    return F.nullif(F.trim(t), F.lit(""))
+
+
+def normal_content(text: Column) -> Column:
+    """At most one empty line in a row, single blanks, lines trimmed."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\n{3,}", "\n\n"), " {2,}", " ")
+    lines = F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, rf"^{BLANKS}|{BLANKS}$", ""))
+    return F.regexp_replace(F.array_join(lines, "\n"), rf"^{BLANKS}|{BLANKS}$", "")
+
+
+def listed(text: Column) -> Column:
+    """Parts of a text between commas, trimmed, none empty."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def content_hash(title: Column, content: Column) -> Column:
+    """Hash of the title and the beginning of the content."""
+    return F.sha2(F.concat(F.coalesce(title, F.lit("")), F.lit("|"), F.substring(F.coalesce(content, F.lit("")), 1, 500)), 256)
+
+
+def dedup_hash(title: Column, source: Column, url: Column) -> Column:
+    """Hash of title, source and address, letter case and outer blanks aside."""
+    return F.sha2(F.concat_ws("|", *[F.trim(F.lower(F.coalesce(c, F.lit("")))) for c in (title, source, url)]), 256)
+
+
+def joined_hash(*columns: Column) -> Column:
+    """Hash of the columns that are neither null nor empty."""
+    return F.sha2(F.concat_ws("|", *[F.nullif(c, F.lit("")) for c in columns]), 256)
+
+
+def by_table(value: Column, table: dict[str, str], otherwise: Column) -> Column:
+    """The table's entry for a value, else ``otherwise``."""
+    names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, value), otherwise)
+
+
+def normal_source(name: Column) -> Column:
+    """Usual spelling of a source's name; 'Unknown' for none."""
+    n = F.nullif(F.trim(name), F.lit(""))
+    return F.coalesce(by_table(n, SOURCE_NAMES, n), F.lit("Unknown"))
+
+
+def normal_country(code: Column, known: list[str]) -> Column:
+    """Two-letter code of a country; null unless it is one of the known."""
+    c = F.upper(F.trim(code))
+    return by_table(c, COUNTRY_CODES, F.when(c.isin(known), c))
+
+
+def region_stem(name: Column) -> Column:
+    """A region's name without the first ending that fits, Chinese ones before English ones."""
+    out = name
+    for end in reversed(REGION_ENDINGS_EN):
+        out = F.when(F.endswith(F.lower(name), F.lit(end)) & (F.length(name) > len(end)), F.substring(name, F.lit(1), F.length(name) - len(end))).otherwise(out)
+    for end in reversed(REGION_ENDINGS_ZH):
+        out = F.when(F.endswith(name, F.lit(end)) & (F.length(name) > len(end)), F.substring(name, F.lit(1), F.length(name) - len(end))).otherwise(out)
+    return out
+
+
+def name_variants(name: Column) -> Column:
+    """A name trimmed, with single blanks, and without its ending, each once."""
+    t = F.trim(name)
+    return F.array_distinct(F.filter(F.array(t, F.regexp_replace(t, BLANKS, " "), F.trim(region_stem(t))), lambda x: x.isNotNull() & (x != "")))
+
+
+def meta_content(page: Column, key: str) -> Column:
+    """Content of a page's meta element by property, else by name."""
+    found = [F.nullif(F.regexp_extract(page, rf"(?i)<meta[^>]+{kind}=[\"']{key}[\"'][^>]+content=[\"']([^\"']+)[\"']", 1), F.lit("")) for kind in ("property", "name")]
+    return F.trim(F.coalesce(*found))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of a text, each with its mark."""
+    return F.filter(F.transform(F.split(text, r"(?<=[。！？!?\.])\s+"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def sentence_scores(parts: Column) -> Column:
+    """How likely each sentence names a place, in tenths: position, dateline, words of place, capitals, Chinese runs; (rank, at, text)."""
+    before, after = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    dateline = r"^(?:[A-Z][A-Z .'\-]{2,}|[\x{4e00}-\x{9fff}]{2,20})(?:,\s*(?:[A-Z][A-Za-z .'\-]{2,}|[\x{4e00}-\x{9fff}]{2,20})){0,2}\s*[-—]"
+    context = rf"(?i){before}(in|at|from|near|across|throughout|outside|around|into|toward|inside){after}|[在于从赴至位省州市县郡区]"
+    capitals = rf"{before}[A-Z][a-z]+(?:[\-'][A-Z][a-z]+)*{after}"
+
+    def score(s: Column, i: Column) -> Column:
+        found = F.when(s.rlike(dateline), 20).otherwise(0) + F.when(s.rlike(context), 11).otherwise(0) + F.when(F.regexp_count(s, F.lit(capitals)) >= 2, 7).otherwise(0)
+        return F.when(i < 2, 22).when(i < 5, 10).otherwise(0) + found + F.when(s.rlike(r"[\x{4e00}-\x{9fff}]{2,}"), 5).otherwise(0)
+
+    return F.transform(parts, lambda s, i: F.struct((-score(s, i)).alias("rank"), i.alias("at"), s.alias("text")))
+
+
+def geo_text(title: Column, summary: Column, content: Column, most: int = 8, size: int = 2800) -> Column:
+    """Text to search for places: title, ledes and the sentences most likely to name one, each once."""
+    parts = sentences(F.substring(plain_html(content), 1, 4500))
+    ranked = F.slice(F.array_sort(F.filter(sentence_scores(parts), lambda x: F.length(x["text"]) >= 20)), 1, most)
+    chosen = F.transform(ranked, lambda x: F.trim(F.substring(x["text"], 1, 420)))
+    heads = F.array(F.trim(F.substring(plain_html(title), 1, 300)), F.trim(F.substring(first_paragraph(summary), 1, 400)), F.trim(F.substring(first_paragraph(content), 1, 500)))
+    every = F.filter(F.concat(heads, F.coalesce(chosen, F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != ""))
+    lowered = F.transform(every, lambda x: F.lower(x))
+    once = F.filter(every, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    return F.substring(F.array_join(once, " "), 1, size)

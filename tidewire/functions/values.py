@@ -116,3 +116,106 @@ def tier_adjustment(incoming: Column, candidate: Column, base: Column, geo: Colu
     far = F.abs(i - c)
     same = F.lower(F.trim(incoming)) == F.lower(F.trim(candidate))
     return F.when(same, 0.04).when((far >= 3) & (base < 0.95) & (geo < 0.10), -0.12).when((far == 2) & (base < 0.92) & (geo < 0.10), -0.06).when((i >= 4) & (c >= 4), 0.02).otherwise(0.0)
+
+
+# Severity by colour of an alert (earthquakes, other disasters) and by kind of event.
+QUAKE_ALERTS = {"red": 95, "orange": 85, "yellow": 72, "green": 58}
+DISASTER_ALERTS = {"red": 96, "orange": 84, "green": 60}
+EVENT_SEVERITY = {"volcanoes": 84, "severestorms": 76, "wildfires": 72}
+# Weights of where a place is mentioned and of its kind.
+POSITION_WEIGHT = {"title": 1.0, "summary": 0.8, "content": 0.6}
+KIND_WEIGHT = {"admin1": 1.0, "city": 0.9, "country": 0.85}
+
+
+def web_address(url: Column, base: Column) -> Column:
+    """Absolute web address without fragment; addresses from the root are joined to the base's host, others give ''."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    root = F.nullif(F.regexp_extract(F.coalesce(base, F.lit("")), r"^(https?://[^/?#]+)", 1), F.lit(""))
+    joined = F.coalesce(F.concat(root, u), F.lit(""))
+    return F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).when(F.startswith(u, F.lit("/")), joined).when(u.rlike("^https?://"), F.substring_index(u, "#", 1)).otherwise("")
+
+
+def article_address(url: Column, base: Column) -> Column:
+    """Absolute address of an article; the fragment stays."""
+    u = F.coalesce(url, F.lit(""))
+    root = F.nullif(F.regexp_extract(F.coalesce(base, F.lit("")), r"^(https?://[^/?#]+)", 1), F.lit(""))
+    return F.when(F.startswith(u, F.lit("/")), F.coalesce(F.concat(root, u), F.lit(""))).when(u.rlike("^https?://"), u).otherwise("")
+
+
+def day_index(at: Column, hours: int = 8) -> Column:
+    """Days since 1970 at a fixed offset from UTC."""
+    return F.floor((F.unix_timestamp(at) + hours * 3600) / 86400).cast("int")
+
+
+def hours_of_day(at: Column, hours: int = 8) -> Column:
+    """Hours begun since midnight at a fixed offset, at least one."""
+    return F.greatest(F.lit(1), F.ceil(F.pmod(F.unix_timestamp(at) + hours * 3600, F.lit(86400)) / 3600)).cast("int")
+
+
+def quake_severity(alert: Column, significance: Column, magnitude: Column) -> Column:
+    """Severity of an earthquake: by its alert, else its significance, else its magnitude."""
+    colour = _by_name(F.lower(F.trim(alert)), QUAKE_ALERTS, 0)
+    number = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.bround(x, 0).cast("int")))
+    return F.when(colour > 0, colour).when(significance.isNotNull(), number(significance / 10, 35, 92)).when(magnitude.isNotNull(), number(magnitude * 12, 30, 90)).otherwise(40)
+
+
+def alert_severity(alert: Column, score: Column) -> Column:
+    """Severity of a disaster alert by colour and score."""
+    base = F.coalesce(_by_name(F.lower(F.trim(alert)), DISASTER_ALERTS, 55), F.lit(55))
+    mild = F.least(F.lit(72), F.bround(55 + score * 10, 0).cast("int"))
+    return F.when(score.isNull(), base).otherwise(F.greatest(base, F.when(score >= 2, 96).when(score >= 1, 84).otherwise(mild)))
+
+
+def open_event_severity(category: Column, magnitude: Column) -> Column:
+    """Severity of an open event by category and magnitude."""
+    base = F.coalesce(_by_name(F.lower(F.trim(category)), EVENT_SEVERITY, 65), F.lit(65))
+    return F.greatest(F.lit(40), F.least(F.lit(95), base + F.when(magnitude.isNotNull(), F.least(F.lit(12), F.bround(magnitude, 0).cast("int"))).otherwise(0)))
+
+
+def _weight(column: Column, table: dict[str, float], default: float) -> Column:
+    out = F.lit(default)
+    for name, value in table.items():
+        out = F.when(F.lower(column) == name, value).otherwise(out)
+    return out
+
+
+def relevance(position: Column, kind: Column, confidence: Column) -> Column:
+    """How much a text is about a place: where it is named, what kind it is, how sure the match is; hundredths, ties to even."""
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.when(confidence != 0, confidence), F.lit(1.0))))
+    return F.rint((0.6 * _weight(position, POSITION_WEIGHT, 0.5) + 0.3 * _weight(kind, KIND_WEIGHT, 0.8) + 0.1 * sure) * 100) / 100
+
+
+def extent(geometry: Column) -> Column:
+    """[west, south, east, north] of a GeoJSON text of any nesting; null where it has no position."""
+    number = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+    found = F.regexp_extract_all(geometry, F.lit(rf"\[\s*({number}\s*,\s*{number})"), F.lit(1))
+    xy = F.transform(found, lambda p: F.transform(F.split(p, ","), lambda v: F.trim(v).cast("double")))
+    x, y = F.transform(xy, lambda p: p[0]), F.transform(xy, lambda p: p[1])
+    return F.when(F.size(xy) > 0, F.array(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)))
+
+
+def extent_centre(box: Column) -> Column:
+    """(lng, lat, altitude) of the middle of an extent; one that is wider than half the globe crosses the 180th meridian."""
+    west, south, east, north = (F.get(box, F.lit(i)) for i in range(4))
+    wide = east - west > 180
+    span = F.when(wide, 360 - (east - west)).otherwise(east - west)
+    middle = F.when(wide, (west + east + 360) / 2).otherwise((west + east) / 2)
+    lng = F.when(middle > 180, middle - 360).otherwise(middle)
+    altitude = F.least(F.lit(2.4), F.greatest(F.lit(0.3), F.greatest(span, north - south) / 58))
+    return F.struct(F.round(lng, 6).alias("lng"), F.round((south + north) / 2, 6).alias("lat"), F.round(altitude, 4).alias("altitude"))
+
+
+def query_tags(text: str | None) -> list[str]:
+    """Tags asked for in a query parameter: trimmed, lower case, each once."""
+    return list(dict.fromkeys(t for x in (text or "").split(",") if (t := x.strip().lower())))
+
+
+def event_status(status: Column, source_class: Column) -> Column:
+    """'open' or 'closed'; only events can be open."""
+    s, c = F.lower(F.trim(status)), F.lower(F.trim(F.coalesce(source_class, F.lit("news"))))
+    return F.when((c == "event") & s.isin("open", "active", "ongoing"), "open").otherwise("closed")
+
+
+def percent_or(value: Column, default: int) -> Column:
+    """0..100 as a whole number, ``default`` where there is none."""
+    return F.coalesce(percent_scale(value), F.lit(default))
