@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.functions import values as V
+from tidewire.operators import places as P
 from tidewire.plans import cleaning as C
 
 
@@ -30,7 +31,7 @@ def test_sentence_ranks_equal_brute_force(spark):
 
 def test_geo_text(spark):
     rows = [("Flood in Dunholm", "Short.", "<p>Flood in Dunholm</p> Water rose in Dunholm near the bridge on Monday. It fell again in Ashcombe later that day."), (None, None, None), ("", " ", "<b></b>"), ("t" * 400, None, "x" * 9000)]
-    got = [r.g for r in spark.createDataFrame(rows, "t string, s string, c string").select(T.geo_text(F.col("t"), F.col("s"), F.col("c")).alias("g")).collect()]
+    got = [r.geo_text for r in P.with_geo_text(spark.createDataFrame(rows, "t string, s string, c string"), "t", "s", "c").collect()]
     assert got[0].startswith("Flood in Dunholm Short. ") and got[0].count("It fell again") == 1 and got[1] == got[2] == "" and len(got[3]) == 300 + 1 + 500 + 1 + 420
 
 

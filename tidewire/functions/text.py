@@ -247,15 +247,3 @@ def sentence_scores(parts: Column) -> Column:
         return F.when(i < 2, 22).when(i < 5, 10).otherwise(0) + found + F.when(s.rlike(r"[\x{4e00}-\x{9fff}]{2,}"), 5).otherwise(0)
 
     return F.transform(parts, lambda s, i: F.struct((-score(s, i)).alias("rank"), i.alias("at"), s.alias("text")))
-
-
-def geo_text(title: Column, summary: Column, content: Column, most: int = 8, size: int = 2800) -> Column:
-    """Text to search for places: title, ledes and the sentences most likely to name one, each once."""
-    parts = sentences(F.substring(plain_html(content), 1, 4500))
-    ranked = F.slice(F.array_sort(F.filter(sentence_scores(parts), lambda x: F.length(x["text"]) >= 20)), 1, most)
-    chosen = F.transform(ranked, lambda x: F.trim(F.substring(x["text"], 1, 420)))
-    heads = F.array(F.trim(F.substring(plain_html(title), 1, 300)), F.trim(F.substring(first_paragraph(summary), 1, 400)), F.trim(F.substring(first_paragraph(content), 1, 500)))
-    every = F.filter(F.concat(heads, F.coalesce(chosen, F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != ""))
-    lowered = F.transform(every, lambda x: F.lower(x))
-    once = F.filter(every, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
-    return F.substring(F.array_join(once, " "), 1, size)

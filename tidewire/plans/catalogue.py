@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import analytics, articles, cleaning, core_training, matching, serving, streams, topics
+from . import analytics, articles, cleaning, core_training, matching, places, serving, streams, topics
 
 FLAGSHIP = "country_hotspots"
 
-MODULES = [core_training, serving, articles, cleaning, analytics, matching, topics, streams]
+MODULES = [core_training, serving, articles, cleaning, analytics, matching, places, topics, streams]
 
 
 def queries() -> dict:

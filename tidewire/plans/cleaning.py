@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..session import table
+from ..operators import places as P
+from ..session import staged, table
 
 
 
@@ -93,15 +94,14 @@ def web_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def geo_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of each article that is searched for places."""
-    t = T.geo_text(F.col("title"), F.col("summary"), F.col("content"))
-    return _a(spark, sf_dir).select("article_id", t.alias("geo_text"))
+    return P.with_geo_text(_a(spark, sf_dir).select("article_id", "title", "summary", "content")).select("article_id", "geo_text")
 
 
 def sentence_ranks(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFrame:
     """The eight sentences of each content most likely to name a place."""
-    parts = T.sentences(F.substring(T.plain_html(F.col("content")), 1, 4500))
-    top = F.slice(F.array_sort(F.filter(T.sentence_scores(parts), lambda x: F.length(x["text"]) >= 20)), 1, most)
-    return _a(spark, sf_dir).select("article_id", F.posexplode(top).alias("rank", "s")).select("article_id", "rank", F.col("s.at").alias("sentence_no"), (-F.col("s.rank")).alias("tenths"))
+    a = staged(_a(spark, sf_dir).select("article_id", "content"), parts=T.sentences(F.substring(T.plain_html(F.col("content")), 1, 4500)))
+    top = F.slice(F.array_sort(F.filter(T.sentence_scores(F.col("parts")), lambda x: F.length(x["text"]) >= 20)), 1, most)
+    return a.select("article_id", F.posexplode(top).alias("rank", "s")).select("article_id", "rank", F.col("s.at").alias("sentence_no"), (-F.col("s.rank")).alias("tenths"))
 
 
 def latest_times(spark: SparkSession, sf_dir: str) -> DataFrame:
