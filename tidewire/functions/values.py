@@ -51,9 +51,9 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
 
 
 def percent_scale(value: Column) -> Column:
-    """0..100 as a whole number; shares up to 1 are scaled."""
+    """0..100 as a whole number; shares up to 1 are scaled, null stays null."""
     v = F.when(value <= 1, value * 100).otherwise(value)
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(v, 0).cast("int")))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.bround(v, 0).cast("int"))))
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

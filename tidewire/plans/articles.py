@@ -49,8 +49,8 @@ def title_token_counts(spark: SparkSession, sf_dir: str, top: int = 50) -> DataF
 
 
 def keywords_per_category(spark: SparkSession, sf_dir: str, top: int = 5) -> DataFrame:
-    """Five most frequent words of each category's English titles."""
-    words = _a(spark, sf_dir).filter("language = 'en' and category is not null").select("category", F.explode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    """Five most frequent Latin words of each category's titles, of every language."""
+    words = _a(spark, sf_dir).filter("category is not null").select("category", F.explode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
     counts = words.groupBy("category", "word").agg(F.count("*").alias("n"))
     w = W.partitionBy("category").orderBy(F.desc("n"), "word")
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("category", "rank", "word", "n")
@@ -136,11 +136,11 @@ _TRACK = ", ".join(f"'{w}'" for w in V.TRACKING)
 SQL = {
     "clean_summaries": "SELECT article_id, CASE WHEN length(s) > 60 THEN rtrim(substr(s, 1, 57)) || '...' ELSE s END AS summary FROM (SELECT article_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(summary, 'https?://\\S+', '', 'g'), '\\S+@\\S+\\.\\S+', '', 'g'), '<[^>]+>', '', 'g'), '[\\s\\pZ]+', ' ', 'g')), '') AS s FROM news_articles)",
     "item_hashes": "SELECT article_id, sha256(concat_ws('|', coalesce(url, ''), coalesce(title, ''))) AS item_hash FROM news_articles",
-    "title_token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens_sql('title')}) AS token FROM news_articles WHERE language = 'en' AND title IS NOT NULL) GROUP BY token ORDER BY n DESC, token LIMIT 50",
+    "title_token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens_sql('title')}) AS token FROM news_articles WHERE title IS NOT NULL) GROUP BY token ORDER BY n DESC, token LIMIT 50",
     "title_hashes": f"SELECT md5({_normal('title')}) AS h, count(*) AS n_events, min(event_id) AS first_id FROM news_events WHERE title IS NOT NULL GROUP BY 1",
     "content_ledes": "SELECT article_id, coalesce(" + ", ".join(f"CASE WHEN contains(t, '{m}') AND length(trim(split_part(t, '{m}', 1))) > 15 THEN substr(trim(split_part(t, '{m}', 1)), 1, 600) END" for m in ["。", "！", "？", ". ", "! ", "? "]) + f", substr(t, 1, 600)) AS lede FROM (SELECT article_id, trim(regexp_replace(regexp_replace(content, '<[^>]+>', ' ', 'g'), '{_B}', ' ', 'g')) AS t FROM news_articles WHERE content IS NOT NULL)",
     "tag_union": "SELECT article_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:20], '|') AS tags FROM (SELECT article_id, list_filter(list_transform(coalesce(tags, []) || coalesce(region_tags, []), lambda t: lower(trim(t))), lambda t: t <> '') AS l FROM news_articles)",
-    "keywords_per_category": "SELECT category, CAST(rank AS INT) AS rank, word, n FROM (SELECT category, word, n, row_number() OVER (PARTITION BY category ORDER BY n DESC, word) AS rank FROM (SELECT category, word, count(*) AS n FROM (SELECT category, unnest(regexp_extract_all(lower(title), '[a-z]{4,}')) AS word FROM news_articles WHERE language = 'en' AND category IS NOT NULL AND title IS NOT NULL) GROUP BY ALL)) WHERE rank <= 5",
+    "keywords_per_category": "SELECT category, CAST(rank AS INT) AS rank, word, n FROM (SELECT category, word, n, row_number() OVER (PARTITION BY category ORDER BY n DESC, word) AS rank FROM (SELECT category, word, count(*) AS n FROM (SELECT category, unnest(regexp_extract_all(lower(title), '[a-z]{4,}')) AS word FROM news_articles WHERE category IS NOT NULL AND title IS NOT NULL) GROUP BY ALL)) WHERE rank <= 5",
     "normal_urls": f"SELECT article_id, CASE WHEN h = '' THEN url ELSE h || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS url FROM (SELECT article_id, url, h, regexp_replace(split_part(rest, '?', 1), '/+$', '') AS path, coalesce(array_to_string(list_sort(list_filter(string_split(CASE WHEN contains(rest, '?') THEN regexp_replace(rest, '^[^?]*\\?', '') ELSE '' END, '&'), lambda p: regexp_matches(p, '^[^=]+=.+') AND NOT list_contains([{_TRACK}], lower(split_part(p, '=', 1))))), '&'), '') AS q FROM (SELECT article_id, url, h, substr(u, length(h) + 1) AS rest FROM (SELECT article_id, url, u, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS h FROM (SELECT article_id, url, regexp_replace(trim(url), '#.*$', '') AS u FROM news_articles))))",
     "hosts": "SELECT nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '') AS host, count(*) AS n_articles FROM news_articles GROUP BY 1",
     "exact_duplicates": "SELECT hash, min(article_id) AS article_id, count(*) AS n_copies FROM news_articles WHERE hash IS NOT NULL GROUP BY hash",

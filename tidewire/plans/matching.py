@@ -134,10 +134,17 @@ QUERIES = {f.__name__: f for f in [
 
 SQL = {
     "earlier_copies": "WITH u AS ({url}), a AS (SELECT article_id, hash, u.url AS url, canonical_url FROM news_articles JOIN u USING (article_id)), m AS (SELECT article_id, nullif(min(article_id) OVER (PARTITION BY hash), CASE WHEN coalesce(hash, '') = '' THEN min(article_id) OVER (PARTITION BY hash) END) AS h, CASE WHEN coalesce(url, '') <> '' THEN min(article_id) OVER (PARTITION BY url) END AS u, CASE WHEN coalesce(canonical_url, '') <> '' THEN min(article_id) OVER (PARTITION BY canonical_url) END AS c FROM a) SELECT article_id, coalesce(h, u, c) AS first_id, CASE WHEN h IS NOT NULL THEN 'hash' WHEN u IS NOT NULL THEN 'url' ELSE 'canonical_url' END AS kind FROM m WHERE coalesce(h, u, c) < article_id",
-    "title_jaccard": f"SELECT event_id, article_id, round(CASE WHEN len(list_distinct(a || b)) > 0 THEN CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS DOUBLE) / len(list_distinct(a || b)) ELSE 0 END, 6) AS overlap FROM (SELECT event_id, article_id, {tokens_sql('n.title')} AS a, {tokens_sql('e.title')} AS b FROM (SELECT DISTINCT event_id, article_id FROM event_articles) JOIN news_articles n USING (article_id) JOIN news_events e USING (event_id) WHERE n.language = 'en' AND n.title IS NOT NULL AND e.title IS NOT NULL)",
+    "title_jaccard": f"SELECT event_id, article_id, round(CASE WHEN len(list_distinct(a || b)) > 0 THEN CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS DOUBLE) / len(list_distinct(a || b)) ELSE 0 END, 6) AS overlap FROM (SELECT event_id, article_id, {tokens_sql('n.title')} AS a, {tokens_sql('e.title')} AS b FROM (SELECT DISTINCT event_id, article_id FROM event_articles) JOIN news_articles n USING (article_id) JOIN news_events e USING (event_id) WHERE n.title IS NOT NULL AND e.title IS NOT NULL)",
     "merged_sources": "SELECT coalesce(s.code, a.code) AS code, coalesce(s.name, a.name) AS name, greatest(s.freshness_sla_hours, a.f) AS freshness_sla_hours, coalesce(a.l, s.source_tier_level) AS source_tier_level FROM news_sources s FULL JOIN (SELECT lower(source_code) AS code, max(source_name) AS name, max(freshness_sla_hours) AS f, max(source_tier_level) AS l FROM news_articles WHERE source_code IS NOT NULL GROUP BY 1) a ON s.code = a.code",
     "behind_cursor": "SELECT event_type, count(*) AS n, max(ts) AS cursor_at, arg_max(event_id, (ts, event_id)) AS cursor_id FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00' OR (ts = TIMESTAMP '2024-01-15 12:00:00' AND CAST(event_id AS VARCHAR) <> '1') GROUP BY event_type",
-    "region_mentions": "WITH names AS (SELECT DISTINCT geojson_key, lower(n) AS gram FROM (SELECT geojson_key, unnest([admin1_name, admin1_name_ascii]) AS n FROM admin1_regions) WHERE n IS NOT NULL AND n <> ''), t AS (SELECT article_id, 0 AS place, title AS text FROM news_articles UNION ALL SELECT article_id, 1, summary FROM news_articles), w AS (SELECT article_id, place, string_split(lower(trim(regexp_replace(text, '[^\\pL\\pM\\pN-]+', ' ', 'g'))), ' ') AS w FROM t WHERE text IS NOT NULL), g AS (SELECT DISTINCT article_id, place, unnest(w) AS gram FROM w UNION SELECT DISTINCT article_id, place, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w) SELECT article_id, geojson_key, CASE WHEN min(place) = 0 THEN 'title' ELSE 'summary' END AS position FROM g JOIN names USING (gram) GROUP BY article_id, geojson_key",
+    "region_mentions": r"""WITH raw AS (SELECT geojson_key, unnest([admin1_name, admin1_name_ascii, admin1_name_zh] || coalesce(aliases, [])) AS n FROM admin1_regions),
+        r AS (SELECT geojson_key, n, regexp_replace(lower(trim(n)), '[\x{00b7}\x{2022}\x{2027}\x{30fb}\x{ff65}]', '·', 'g') AS run FROM raw WHERE n IS NOT NULL),
+        i AS (SELECT geojson_key, n, run, regexp_full_match(run, '[\pL\pM\pN\x{00b7}]+') AND regexp_matches(run, '[\p{Han}\p{Hiragana}\p{Katakana}\x{30fc}]') AS inside FROM r),
+        names AS (SELECT DISTINCT geojson_key, inside, CASE WHEN inside THEN run ELSE trim(regexp_replace(lower(n), '[^\pL\pM\pN-]+', ' ', 'g')) END AS gram FROM i),
+        t AS (SELECT article_id, 0 AS place, title AS text FROM news_articles UNION ALL SELECT article_id, 1, summary FROM news_articles UNION ALL SELECT article_id, 2, content FROM news_articles),
+        w AS (SELECT article_id, place, ' ' || trim(regexp_replace(lower(text), '[^\pL\pM\pN-]+', ' ', 'g')) || ' ' AS words, regexp_replace(lower(text), '[\x{00b7}\x{2022}\x{2027}\x{30fb}\x{ff65}]', '·', 'g') AS run FROM t WHERE text IS NOT NULL),
+        h AS (SELECT article_id, geojson_key, place FROM w JOIN names ON contains(words, ' ' || gram || ' ') WHERE NOT inside AND gram <> '' UNION ALL SELECT article_id, geojson_key, place FROM w JOIN names ON contains(run, gram) WHERE inside)
+        SELECT article_id, geojson_key, CASE min(place) WHEN 0 THEN 'title' WHEN 1 THEN 'summary' ELSE 'content' END AS position FROM h GROUP BY article_id, geojson_key""",
 }
 
 SQL["earlier_copies"] = SQL["earlier_copies"].format(url=_ARTICLE_SQL["normal_urls"])
