@@ -47,49 +47,60 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return staged(df, ls=F.transform(F.split(comparison_text(F.col("_text")), "\n"), lambda x: F.trim(x))).drop("_text")
 
 
-def _keys(alias: str) -> list[Column]:
-    return [F.xxhash64(alias).alias("h1"), F.xxhash64(F.lit("second"), alias).alias("h2")]
+def line_keys(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, src, keys): per document the 128-bit keys of its comparison lines in order, null for blank ones; written once, so texts are normalised once."""
+    key = lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2")))
+    return cut(_lines(docs, id_col, text_col, source_col).select(id_col, F.coalesce("src", F.lit("")).alias("src"), F.transform("ls", key).alias("keys")))
 
 
-def frequent_lines(docs: DataFrame, id_col: str, text_col: str, source_col: str, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(src, h1, h2, n_documents) of each line in at least ``min_documents`` documents of its source."""
-    repeated_ids = cut(docs.groupBy(F.col(id_col)).count().filter("count > 1").select(id_col))
-    lines = _lines(docs, id_col, text_col, source_col)
-    flat = lambda df: df.select(id_col, "src", F.explode(F.array_distinct("ls")).alias("line")).filter("line <> ''").select(id_col, "src", *_keys("line"))
+def frequent_lines(keyed: DataFrame, id_col: str, min_documents: int = MIN_DOCUMENTS, min_share: float = 0.0) -> DataFrame:
+    """(src, h1, h2, n_documents) of each line in at least ``min_documents`` documents of its source, and in at least ``min_share`` of them.
+
+    ``keyed``: as made by ``line_keys``.
+    """
+    repeated_ids = cut(keyed.groupBy(F.col(id_col)).count().filter("count > 1").select(id_col))
+    flat = lambda df: df.select(id_col, "src", F.explode(F.array_distinct("keys")).alias("k")).filter("k is not null").select(id_col, "src", "k.h1", "k.h2")
     if repeated_ids.isEmpty():
-        each = flat(lines).select("src", "h1", "h2")
+        each = flat(keyed).select("src", "h1", "h2")
     else:
         ids = small_side(repeated_ids)
-        once = flat(lines.join(ids, id_col, "left_anti")).select("src", "h1", "h2")
-        again = flat(lines.join(ids, id_col, "left_semi")).distinct().select("src", "h1", "h2")
+        once = flat(keyed.join(ids, id_col, "left_anti")).select("src", "h1", "h2")
+        again = flat(keyed.join(ids, id_col, "left_semi")).distinct().select("src", "h1", "h2")
         each = once.unionByName(again)
-    return each.groupBy("src", "h1", "h2").agg(F.count("*").alias("n_documents")).filter(F.col("n_documents") >= min_documents)
+    counts = each.groupBy("src", "h1", "h2").agg(F.count("*").alias("n_documents")).filter(F.col("n_documents") >= min_documents)
+    if min_share <= 0:
+        return counts
+    sizes = keyed.groupBy("src").agg(F.count_distinct(id_col).alias("_all"))  # one row a source
+    return counts.join(sizes, "src").filter(F.col("n_documents") >= min_share * F.col("_all")).drop("_all")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "article_id", text_col: str = "content", source_col: str = "source_code", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "article_id", text_col: str = "content", source_col: str = "source_code", min_documents: int = MIN_DOCUMENTS, min_share: float = 0.0) -> DataFrame:
     """(id, line_no, n_documents) of each line to take out; lines are numbered from 0, blank ones counted."""
-    frequent = small_side(cut(frequent_lines(docs, id_col, text_col, source_col, min_documents)), BROADCAST_LINES)
-    occurrences = (
-        _lines(docs, id_col, text_col, source_col).select(id_col, "src", F.posexplode("ls").alias("line_no", "line"))
-        .filter("line <> ''").select(id_col, "line_no", F.coalesce("src", F.lit("")).alias("src"), *_keys("line"))
-    )
-    return occurrences.join(frequent.withColumn("src", F.coalesce("src", F.lit(""))), ["src", "h1", "h2"]).select(id_col, "line_no", "n_documents")
+    keyed = line_keys(docs, id_col, text_col, source_col)
+    frequent = small_side(cut(frequent_lines(keyed, id_col, min_documents, min_share)), BROADCAST_LINES)
+    occurrences = keyed.select(id_col, "src", F.posexplode("keys").alias("line_no", "k")).filter("k is not null").select(id_col, "line_no", "src", "k.h1", "k.h2")
+    return occurrences.join(frequent, ["src", "h1", "h2"]).select(id_col, "line_no", "n_documents")
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "article_id", text_col: str = "content", source_col: str = "source_code", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "article_id", text_col: str = "content", source_col: str = "source_code", min_documents: int = MIN_DOCUMENTS, min_share: float = 0.0) -> DataFrame:
     """(id, text, n_removed): each document rebuilt without its frequent lines.
 
     A null text stays null. Rows of a repeated id are rebuilt from their own
-    lines, so the pairing is by id and line text position of that row.
+    lines: a row is known by 128 bits of its id, text and source.
     """
-    frequent = small_side(cut(frequent_lines(docs, id_col, text_col, source_col, min_documents)), BROADCAST_LINES)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.lower(F.trim(source_col)).alias("src")).withColumn("row_key", F.xxhash64(id_col, "text", "src"))
-    lines = staged(rows.filter("text is not null"), ls=F.transform(F.split(comparison_text(F.col("text")), "\n"), lambda x: F.trim(x)))
+    keyed = line_keys(docs, id_col, text_col, source_col)
+    frequent = small_side(cut(frequent_lines(keyed, id_col, min_documents, min_share)), BROADCAST_LINES)
+    row = lambda *c: [F.xxhash64(*c).alias("r1"), F.xxhash64(F.lit("second"), *c).alias("r2")]
     hits = (
-        lines.select("row_key", F.coalesce("src", F.lit("")).alias("src"), F.posexplode("ls").alias("line_no", "line")).filter("line <> ''")
-        .select("row_key", "line_no", "src", *_keys("line")).join(frequent.withColumn("src", F.coalesce("src", F.lit(""))), ["src", "h1", "h2"])
-        .groupBy("row_key").agg(F.collect_set("line_no").alias("gone"))
+        keyed.select(*row(id_col, "src", "keys"), "src", F.posexplode("keys").alias("line_no", "k")).filter("k is not null")
+        .select("r1", "r2", "line_no", "src", "k.h1", "k.h2").join(frequent, ["src", "h1", "h2"])
+        .groupBy("r1", "r2").agg(F.collect_set("line_no").alias("gone"))
     )
-    joined = rows.join(hits, "row_key", "left")
-    kept = F.expr("case when gone is null then text else array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n') end")
+    # Rows of equal id, source and line keys have the same frequent lines, so they share one entry.
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.lower(F.trim(source_col)).alias("src"))
+    lines = staged(texts, ls=F.when(F.col("text").isNotNull(), F.transform(F.split(comparison_text(F.col("text")), "\n"), lambda x: F.trim(x))))
+    key = lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2")))
+    rows = lines.select(id_col, "text", F.coalesce("src", F.lit("")).alias("src"), F.transform("ls", key).alias("keys")).select(id_col, "text", *row(id_col, "src", "keys"))
+    joined = rows.join(hits, ["r1", "r2"], "left")
+    kept = F.expr("case when gone is null then text else array_join(filter(split(text, '\n'), (x, i) -> not array_contains(gone, i)), '\n') end")
     return joined.select(id_col, kept.alias("text"), F.expr("coalesce(size(gone), 0)").alias("n_removed"))
