@@ -9,8 +9,13 @@ from . import survivor
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that the tier, time and heat of each story's surviving record come from."""
-    found = p3_survivors(spark, sf_dir)
+    """Rows that the tier, time and heat of each story's surviving record come from.
+
+    These three are fixed by stated orders, which a latent quality model does
+    not know (README has figures); the orders are applied alone, and the model
+    judges the multi-valued fields of ``p3_survivors``.
+    """
+    found = survivor.best_rows(table(spark, sf_dir, "news_articles"), table(spark, sf_dir, "source_clocks"))
     return found.select("canonical_url", "tier_id", "published_id", "heat_id")
 
 
