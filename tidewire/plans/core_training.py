@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import proximity, timestamps
-from ..session import table
+from ..session import cut, table
 
 TIME_FIELDS = ["published_at", "event_time", "source_updated_at"]
 NEAR_KM = 2.0
@@ -26,7 +26,7 @@ def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles at most 2 km apart, and the first-level region around each article."""
-    located = proximity.article_locations(table(spark, sf_dir, "news_articles")).distinct()
+    located = cut(proximity.article_locations(table(spark, sf_dir, "news_articles")).distinct())  # read once
     points = located.select("lat", "lng").distinct()
     pairs = proximity.expand_pairs(located, proximity.near_pairs(points, NEAR_KM))
     regions = proximity.containing_regions(points, table(spark, sf_dir, "admin1_shapes"))
