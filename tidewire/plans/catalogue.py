@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import analytics, articles, cleaning, core_training, matching, places, serving, stages, streams, topics
+from . import analytics, articles, cleaning, core_training, matching, places, scans, serving, stages, streams, topics
 
 FLAGSHIP = "country_hotspots"
 
-MODULES = [core_training, serving, articles, cleaning, analytics, matching, places, stages, topics, streams]
+MODULES = [core_training, serving, articles, cleaning, analytics, matching, places, scans, stages, topics, streams]
 
 
 def queries() -> dict:
