@@ -75,25 +75,49 @@ def reset_counters(stream: DataFrame, key: str, hours: int = 24) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(update, out, state, "update", "NoTimeout")
 
 
-def upsert_batches(stream: DataFrame, target: str, key: str, order: str) -> None:
-    """Keep the latest row of each key in a parquet table; a new version is written beside the old and then named current.
-
-    A batch that is replayed after a failure leaves the same table.
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the versions under a target folder, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    done = [f.getPath() for f in fs.listStatus(path) if f.isDirectory() and f.getPath().getName()[:1] == "v" and f.getPath().getName()[1:].isdigit()]
+    return sorted(int(p.getName()[1:]) for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def upsert_batches(stream: DataFrame, target: str, key: str, order: str, keep: int = 2) -> None:
+    """Keep the latest row of each key in a parquet table under ``target``; a batch writes a new version beside the old ones.
+
+    The stream's state lies in the target folder, so a restart goes on where
+    the last run ended and merges into what is stored. A version is named by
+    its batch behind those that were there before the stream's first one; a
+    batch that is replayed after a failure writes the same version again. Older
+    versions than ``keep`` are removed. Rows without a key are left out.
     """
     spark = stream.sparkSession
-    state = f"{ensure_checkpoint_dir(spark)}/upsert-{uuid.uuid4()}"
+    offset_path = f"{target}/_offset"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(jvm_path(f"{target}/_state")) and fs.exists(jvm_path(f"{offset_path}/_SUCCESS")):
+        offset = spark.read.parquet(offset_path).first()[0]
+    else:  # a first run, or one whose state is lost: what is stored stays below
+        offset = max(_versions(spark, target), default=-1) + 1
+        spark.range(offset, offset + 1).coalesce(1).write.mode("overwrite").parquet(offset_path)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        cols = batch.columns
+        cols, version = batch.columns, offset + batch_id
+        stored = [v for v in _versions(spark, target) if v < version]
         rows = batch
-        if batch_id > 0:
-            rows = spark.read.parquet(f"{target}/v{batch_id - 1}").unionByName(batch)
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{target}/v{batch_id}")
+        if stored:
+            rows = spark.read.schema(batch.schema).parquet(f"{target}/v{stored[-1]}").unionByName(batch)
+        latest = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("r")).select("r.*")
+        latest.write.mode("overwrite").parquet(f"{target}/v{version}")
+        for v in stored[: 1 - keep] if keep > 1 else stored:
+            fs.delete(jvm_path(f"{target}/v{v}"), True)
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/_state").trigger(availableNow=True).start().awaitTermination()
 
 
-def current_version(spark: SparkSession, target: str, batches: int) -> DataFrame:
-    """The table after ``batches`` micro-batches."""
-    return spark.read.parquet(f"{target}/v{batches - 1}")
+def current_version(spark: SparkSession, target: str) -> DataFrame:
+    """The table after the latest finished batch."""
+    return spark.read.parquet(f"{target}/v{_versions(spark, target)[-1]}")
