@@ -78,19 +78,20 @@ def test_values(spark):
 
 def test_topics(spark):
     texts = ["Iran warns of floods", "The port talks on ai, hospital vaccine treaty", "storms 山火", None, "brail portrait"]
-    from tidewire.session import staged
-
-    df = staged(spark.createDataFrame([(t,) for t in texts], "t string"), **K.signal_columns(F.col("t")))
+    df = K.with_signals(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
     rows = df.select(K.topic_tags().alias("tags"), K.topic_category(F.lit("base")).alias("c"), K.priority_score().alias("s")).collect()
     assert [r.tags for r in rows] == [["other"], ["ai", "health", "diplomacy", "transport"], ["disaster"], ["other"], ["other"]]
     assert [r.c for r in rows] == ["base", "science", "disaster", "base", "base"] or rows[1].c in ("science", "policy")
     assert rows[2].s == 3 and rows[0].s == 0
+    own = {"a": ("x", ["port", "port  authority".replace("  ", " "), "authority of"]), "b": ("y", ["港口", "港口局"]), "c": ("z", [])}
+    df = K.with_signals(spark.createDataFrame([("The PORT\nauthority of 港口局",), ("airport",)], "t string"), "t", own)
+    assert [(r.hits_a, r.hits_b, r.hits_c) for r in df.collect()] == [(3, 2, 0), (0, 0, 0)]
 
 
 def test_matching(spark):
     items = spark.createDataFrame([(1, "JP", "2026-01-03 00:00:00", "Port talks resume in Tokyo", "policy", ["ai"], "official", ["JP:13"]), (2, "JP", "2026-01-09 00:00:00", "Port talks resume in Tokyo", "policy", None, None, None)], "item_id long, country string, at string, title string, category string, tags array<string>, tier string, keys array<string>").withColumn("at", F.col("at").cast("timestamp"))
     events = spark.createDataFrame([(10, "JP", "2026-01-02 00:00:00", "Port talks resume in Osaka", "policy", ["ai"], "official", ["JP:27"]), (11, "JP", "2026-01-02 12:00:00", "Port talks to resume in Tokyo", "policy", ["ai"], "official", ["JP:13"]), (12, "US", "2026-01-02 12:00:00", "Port talks resume in Tokyo", None, None, None, None), (13, "JP", "2025-12-20 00:00:00", "Port talks resume in Tokyo", None, None, None, None)], "event_id long, country string, seen_at string, e_title string, e_category string, e_tags array<string>, e_tier string, e_keys array<string>").withColumn("seen_at", F.col("seen_at").cast("timestamp"))
-    near = M.window_candidates(items, events)
+    near = M.window_candidates(M.title_forms(items, "title"), M.title_forms(events, "e_title", "e_"))
     assert {(r.item_id, r.event_id) for r in near.collect()} == {(1, 10), (1, 11)}
     assert [(r.item_id, r.event_id) for r in M.match_events(near).collect()] == [(1, 11)]
 

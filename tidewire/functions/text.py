@@ -88,7 +88,12 @@ def sorted_words_hash(title: Column) -> Column:
 
 def title_tokens(title: Column) -> Column:
     """Telling tokens of a title in order."""
-    found = F.regexp_extract_all(normal_title(title), F.lit(r"[\x{4e00}-\x{9fff}]{2,}|[a-z0-9]+"), F.lit(0))
+    return tokens_of(normal_title(title))
+
+
+def tokens_of(normal: Column) -> Column:
+    """Telling tokens of a title in its normal form."""
+    found = F.regexp_extract_all(normal, F.lit(r"[\x{4e00}-\x{9fff}]{2,}|[a-z0-9]+"), F.lit(0))
     stop = F.array(*[F.lit(w) for w in TITLE_STOPWORDS])
     return F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
 
@@ -108,12 +113,16 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def title_similarity(a: Column, b: Column) -> Column:
     """0.72 gestalt ratio + 0.28 token overlap, at least 0.96 where the shorter title stands in the longer."""
     x, y = F.regexp_replace(normal_title(a), " ", ""), F.regexp_replace(normal_title(b), " ", "")
-    shorter, longer = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    held = F.when((F.length(shorter) >= 12) & F.contains(longer, shorter), 0.96).otherwise(0.0)
-    mixed = F.greatest(held, sequence_ratio(x, y) * 0.72 + jaccard(title_tokens(a), title_tokens(b)) * 0.28)
+    mixed = F.greatest(held_within(x, y), sequence_ratio(x, y) * 0.72 + jaccard(title_tokens(a), title_tokens(b)) * 0.28)
     return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), 0.0).when(x == y, 1.0).otherwise(mixed)
 
 
+def held_within(x: Column, y: Column) -> Column:
+    """0.96 where the shorter of two squeezed titles has twelve characters and stands in the longer, else 0."""
+    shorter, longer = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    return F.when((F.length(shorter) >= 12) & F.contains(longer, shorter), 0.96).otherwise(0.0)
+
+
 def item_hash(url: Column, title: Column) -> Column:
     """Identity of an item."""
     return F.sha2(F.concat_ws("|", F.coalesce(url, F.lit("")), F.coalesce(title, F.lit(""))), 256)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..session import cut
+from ..session import cut, staged
 
 #: Hours an event is open for further items.
 LOOKBACK_H = 72
@@ -55,23 +55,30 @@ def window_candidates(items: DataFrame, events: DataFrame, hours: int = LOOKBACK
     return near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
 
 
+def title_forms(df: DataFrame, title: str, prefix: str = "") -> DataFrame:
+    """``df`` with the squeezed normal title and its tokens, made once a row and not once a pair."""
+    df = staged(df, _normal=T.normal_title(F.col(title)))
+    return staged(df, **{f"{prefix}x": F.regexp_replace("_normal", " ", ""), f"{prefix}tokens": T.tokens_of(F.col("_normal"))}).drop("_normal")
+
+
 def match_events(candidates: DataFrame) -> DataFrame:
     """(item_id, event_id, score): the best event of each item at or above the least score.
 
-    Needs title, e_title, category, e_category, tags, e_tags, tier, e_tier,
-    keys, e_keys. The title bound is checked with lengths before the gestalt
-    ratio: 0.72 * 2 * shorter / (both) + 0.28 can not be below the score.
+    Needs x, e_x, tokens, e_tokens (see ``title_forms``), category, e_category,
+    tags, e_tags, tier, e_tier, keys, e_keys. Equal titles need no ratio; others
+    only where 0.72 * 2 * shorter / (both) + 0.28 * token overlap, which the
+    similarity cannot exceed, reaches the least one.
     """
-    x, y = T.normal_title(F.col("title")), T.normal_title(F.col("e_title"))
-    a, b = F.length(F.regexp_replace(x, " ", "")), F.length(F.regexp_replace(y, " ", ""))
-    bound = F.when(a + b > 0, 1.44 * F.least(a, b) / (a + b)).otherwise(0.0) + 0.28
-    held = F.contains(F.regexp_replace(x, " ", ""), F.regexp_replace(y, " ", "")) | F.contains(F.regexp_replace(y, " ", ""), F.regexp_replace(x, " ", ""))
-    near = candidates.filter((bound >= LEAST_TITLE) | held)
-    near = near.withColumn("base", T.title_similarity(F.col("title"), F.col("e_title"))).filter(F.col("base") >= LEAST_TITLE)
+    x, y = F.col("x"), F.col("e_x")
+    a, b = F.length(x), F.length(y)
+    full = candidates.filter("x <> '' and e_x <> ''")
+    same = full.filter("x = e_x").withColumn("base", F.lit(1.0))
+    other = staged(full.filter("x <> e_x"), _held=T.held_within(x, y), _shared=T.jaccard(F.col("tokens"), F.col("e_tokens")) * 0.28)
+    other = other.filter((F.col("_held") > 0) | (1.44 * F.least(a, b) / (a + b) + F.col("_shared") >= LEAST_TITLE))
+    other = other.withColumn("base", F.greatest(F.col("_held"), T.sequence_ratio(x, y) * 0.72 + F.col("_shared"))).filter(F.col("base") >= LEAST_TITLE).drop("_held", "_shared")
     none = F.array().cast("array<string>")
+    near = staged(same.unionByName(other), geo=V.geo_overlap(F.coalesce("keys", none), F.coalesce("e_keys", none)))
     overlap = F.size(F.array_intersect(V.normal_tags(F.coalesce("tags", none)), V.normal_tags(F.coalesce("e_tags", none))))
-    geo = V.geo_overlap(F.coalesce("keys", none), F.coalesce("e_keys", none))
-    near = near.withColumn("geo", geo)
     score = (
         F.col("base") + F.least(F.lit(0.12), overlap * F.lit(0.04)) + F.when(F.col("category") == F.col("e_category"), 0.08).otherwise(0.0) + 0.03 + F.col("geo")
         + V.tier_adjustment(F.coalesce("tier", F.lit("authoritative")), F.coalesce("e_tier", F.lit("authoritative")), F.col("base"), F.col("geo"))

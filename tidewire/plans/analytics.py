@@ -54,7 +54,8 @@ def source_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of each source within 24 and 72 hours, and the latest."""
     age = F.expr(f"timestampdiff(SECOND, crawled_at, timestamp'{NOW}')")
     a = table(spark, sf_dir, "news_articles").filter("crawled_at is not null and source_code is not null").select(F.lower("source_code").alias("code"), "crawled_at", age.alias("age"))
-    return a.filter("age >= 0").groupBy("code").agg(F.count_if(F.col("age") <= 86400).alias("n_24h"), F.count_if(F.col("age") <= 3 * 86400).alias("n_72h"), F.max("crawled_at").alias("last_crawled_at"))
+    a = a.withColumn("age", F.greatest(F.lit(0), "age"))  # after the moment of the query: just seen
+    return a.groupBy("code").agg(F.count_if(F.col("age") <= 86400).alias("n_24h"), F.count_if(F.col("age") <= 3 * 86400).alias("n_72h"), F.max("crawled_at").alias("last_crawled_at"))
 
 
 def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +123,9 @@ def legacy_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Older heat: articles and sources, decaying over 48 hours."""
     a = table(spark, sf_dir, "news_articles").select("article_id", F.lower("source_code").alias("code"), "crawled_at")
     per = links(spark, sf_dir).join(a, "article_id").groupBy("event_id").agg(F.count("*").alias("n"), F.count_distinct("code").alias("s"), F.max("crawled_at").alias("at"))
-    fade = F.greatest(F.lit(0.0), 1 - F.expr(f"timestampdiff(SECOND, at, timestamp'{NOW}') / 3600D / 48D"))
-    return per.filter(f"at <= timestamp'{NOW}'").select("event_id", ((F.col("n") * 100 + F.col("s") * 50) * fade).cast("int").alias("heat"))
+    # What lies after the moment of the query counts as just seen.
+    fade = F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0), F.expr(f"timestampdiff(SECOND, at, timestamp'{NOW}')")) / 3600 / 48)
+    return per.select("event_id", ((F.col("n") * 100 + F.col("s") * 50) * fade).cast("int").alias("heat"))
 
 
 def unlinked_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +181,7 @@ _ANY = lambda ws: "max(CASE WHEN list_has_any(coalesce(tags, []), [" + ", ".join
 SQL = {
     "source_analytics": f"{_SRC} SELECT code, source_tier, n_articles, n_events, {_R}, last_crawled_at FROM s WHERE is_active",
     "tier_analytics": f"{_SRC}, t AS (SELECT source_tier, count(*) AS n_sources, count(*) FILTER (is_active) AS n_active, {_SUMS} FROM s GROUP BY source_tier) SELECT source_tier, n_sources, n_active, n_articles, n_events, {_R} FROM t",
-    "source_freshness": f"SELECT code, count(*) FILTER (age <= 86400) AS n_24h, count(*) FILTER (age <= 259200) AS n_72h, max(crawled_at) AS last_crawled_at FROM (SELECT lower(source_code) AS code, crawled_at, floor(epoch(TIMESTAMP '{NOW}') - epoch(crawled_at)) AS age FROM news_articles WHERE crawled_at IS NOT NULL AND source_code IS NOT NULL) WHERE age >= 0 GROUP BY code",
+    "source_freshness": f"SELECT code, count(*) FILTER (age <= 86400) AS n_24h, count(*) FILTER (age <= 259200) AS n_72h, max(crawled_at) AS last_crawled_at FROM (SELECT lower(source_code) AS code, crawled_at, greatest(0, floor(epoch(TIMESTAMP '{NOW}') - epoch(crawled_at))) AS age FROM news_articles WHERE crawled_at IS NOT NULL AND source_code IS NOT NULL) GROUP BY code",
     "job_status": "SELECT user_id, count(*) AS n_runs, count(*) FILTER (event_type = 'error') AS n_failed, count(*) FILTER (event_type = 'purchase') AS n_completed, arg_max(event_type, (ts, event_id)) AS last_type, max(ts) FILTER (event_type = 'purchase') AS last_completed_at FROM events GROUP BY user_id",
     "place_quality": f"{WITH_PLACES} SELECT coalesce(precision_level, 'UNKNOWN') AS precision_level, count(*) AS n_mentions, count(DISTINCT event_id) AS n_events, count(DISTINCT geo_key) AS n_keys, round_even(CAST(count(*) FILTER (country_code IS NULL) AS DOUBLE) / count(*), 4) AS no_country_ratio FROM event_places GROUP BY 1",
     "top_countries": f"{WITH_PLACES} SELECT country_code, count(DISTINCT event_id) AS n_events FROM event_places WHERE country_code IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
@@ -187,7 +189,7 @@ SQL = {
     "tag_facets": f"SELECT tag, count(*) AS n_articles FROM (SELECT DISTINCT article_id, unnest({_TAGS}) AS tag FROM news_articles) GROUP BY tag",
     "tier_facets": "SELECT coalesce(nullif(lower(trim(source_tier)), ''), 'unknown') AS tier, count(*) AS n_articles FROM news_articles GROUP BY 1",
     "event_heat": f"WITH s AS (SELECT event_id, coalesce(a.heat_score, 0) AS h, lower(a.source_code) AS code, crawled_at, tags, CASE n.source_tier WHEN 'official' THEN 5 WHEN 'authoritative' THEN 4 WHEN 'aggregator' THEN 3 WHEN 'community' THEN 2 ELSE 1 END AS tier, n.code AS known FROM (SELECT DISTINCT event_id, article_id FROM event_articles) JOIN news_articles a USING (article_id) LEFT JOIN news_sources n ON n.code = lower(a.source_code)), p AS (SELECT event_id, max(h) AS top, sum(h) AS sh, count(*) AS n, count(DISTINCT code) AS src, max(CASE WHEN known IS NULL THEN 4 ELSE tier END) AS tier, max(crawled_at) AS last_at, {_ANY(V.HOT_TAGS)} AS hot, {_ANY(V.WARM_TAGS)} AS warm FROM s GROUP BY event_id), q AS (SELECT event_id, greatest(top, 1) AS top, sh / n AS mean, greatest(coalesce(article_count, 0), n) AS n, greatest(1, src) AS src, tier, least(20, hot * 12 + warm * 8 + CASE WHEN category IN ('technology', 'science', 'conflict', 'disaster') THEN 6 WHEN category IN ('policy', 'business') THEN 4 ELSE 0 END) AS topic, event_level, floor(epoch(TIMESTAMP '{NOW}') - epoch(last_at)) / 3600 AS hrs, coalesce(severity, 0) AS sev FROM news_events JOIN p USING (event_id)) SELECT event_id, CAST(least(9999, greatest(1, trunc(top * 0.62::DOUBLE + round_even(mean, 0) * 0.38::DOUBLE) + least(42, n * 6) + least(36, src * 9) + CASE tier WHEN 5 THEN 18 WHEN 4 THEN 14 WHEN 3 THEN 8 WHEN 2 THEN 5 ELSE 3 END + topic + CASE event_level WHEN 'city' THEN 8 WHEN 'admin1' THEN 4 ELSE 0 END + CASE WHEN hrs <= 6 THEN 18 WHEN hrs <= 24 THEN 12 WHEN hrs <= 72 THEN 6 ELSE 0 END + least(24, round_even(sev * 0.24::DOUBLE, 0)))) AS INT) AS heat FROM q",
-    "legacy_heat": f"SELECT event_id, CAST(trunc((n * 100 + s * 50) * greatest(0, 1 - floor(epoch(TIMESTAMP '{NOW}') - epoch(last_at)) / 3600 / 48)) AS INT) AS heat FROM (SELECT event_id, count(*) AS n, count(DISTINCT lower(source_code)) AS s, max(crawled_at) AS last_at FROM (SELECT DISTINCT event_id, article_id FROM event_articles) JOIN news_articles USING (article_id) GROUP BY event_id) WHERE last_at <= TIMESTAMP '{NOW}'",
+    "legacy_heat": f"SELECT event_id, CAST(trunc((n * 100 + s * 50) * greatest(0, 1 - greatest(0, trunc(epoch(TIMESTAMP '{NOW}') - epoch(last_at))) / 3600 / 48)) AS INT) AS heat FROM (SELECT event_id, count(*) AS n, count(DISTINCT lower(source_code)) AS s, max(crawled_at) AS last_at FROM (SELECT DISTINCT event_id, article_id FROM event_articles) JOIN news_articles USING (article_id) GROUP BY event_id)",
     "unlinked_articles": "SELECT article_id FROM news_articles WHERE article_id NOT IN (SELECT article_id FROM event_articles WHERE article_id IS NOT NULL)",
     "kept_after_retention": f"WITH k AS (SELECT article_id FROM event_articles WHERE event_id IN (SELECT event_id FROM news_events WHERE last_seen_at >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY)) SELECT article_id FROM news_articles WHERE article_id IN (SELECT article_id FROM k) OR crawled_at >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY",
     "source_diff": "SELECT coalesce(s.code, a.code) AS code, CASE WHEN name IS NULL THEN 'create' WHEN seen_name IS NULL THEN 'unseen' WHEN name = seen_name THEN 'unchanged' ELSE 'update' END AS action FROM news_sources s FULL JOIN (SELECT lower(source_code) AS code, max(source_name) AS seen_name FROM news_articles WHERE source_code IS NOT NULL GROUP BY 1) a ON s.code = a.code",

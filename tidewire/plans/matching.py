@@ -37,27 +37,36 @@ def _event_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "news_sources").select(F.col("code").alias("source_code"), F.col("source_tier").alias("e_tier"))
     e = table(spark, sf_dir, "news_events").filter("main_country is not null and title is not null and last_seen_at is not null")
     e = e.select("event_id", F.col("main_country").alias("country"), F.col("last_seen_at").alias("seen_at"), F.col("title").alias("e_title"), F.col("category").alias("e_category"), "source_code")
-    return e.join(small_side(sources), "source_code", "left").join(keys, "event_id", "left").withColumn("e_tags", F.array("e_category")).drop("source_code")
+    tags = links(spark, sf_dir).join(_articles(spark, sf_dir).select("article_id", F.explode("tags").alias("t")), "article_id").groupBy("event_id").agg(F.array_sort(F.collect_set(F.lower(F.trim("t")))).alias("e_tags"))  # a bounded vocabulary
+    full = e.join(small_side(sources), "source_code", "left").join(keys, "event_id", "left").join(tags, "event_id", "left").drop("source_code")
+    return M.title_forms(full, "e_title", "e_")
 
 
 def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best open event of each article."""
     a = _articles(spark, sf_dir).filter("country is not null and title is not null and crawled_at is not null")
     items = a.select(F.col("article_id").alias("item_id"), "country", F.col("crawled_at").alias("at"), "title", "category", "tags", F.col("source_tier").alias("tier"), F.transform(F.coalesce("geo_entities", F.array().cast(a.schema["geo_entities"].dataType)), lambda x: x.geo_key).alias("keys"))
-    return M.match_events(M.window_candidates(items, _event_side(spark, sf_dir)))
+    return M.match_events(M.window_candidates(M.title_forms(items, "title"), _event_side(spark, sf_dir)))
 
 
 def alert_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best event of each located disaster article within seven days: time, tags and distance."""
+    """Best event of another source for each disaster article within seven days: time, tags and distance.
+
+    Where both have tags, one must be shared; where either has no point, its
+    distance counts as unknown.
+    """
     a = _articles(spark, sf_dir).filter("category = 'disaster' and country is not null and crawled_at is not null")
-    points = article_locations(a)
-    items = a.select(F.col("article_id").alias("item_id"), "country", F.col("crawled_at").alias("at"), "tags").join(points.withColumnRenamed("article_id", "item_id"), "item_id")
-    first = links(spark, sf_dir).join(article_locations(_articles(spark, sf_dir)), "article_id").groupBy("event_id").agg(F.min(F.struct("article_id", "lat", "lng")).alias("p"))
-    events = table(spark, sf_dir, "news_events").filter("main_country is not null and last_seen_at is not null").select("event_id", F.col("main_country").alias("country"), F.col("last_seen_at").alias("seen_at"), "category").join(first, "event_id", "left")
-    near = M.window_candidates(items, events, 24 * 7, 100)
+    points = article_locations(_articles(spark, sf_dir))
+    items = a.select(F.col("article_id").alias("item_id"), "country", F.col("crawled_at").alias("at"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.lower("source_code").alias("src")).join(points.withColumnRenamed("article_id", "item_id"), "item_id", "left")
+    first = links(spark, sf_dir).join(points, "article_id").groupBy("event_id").agg(F.min(F.struct("article_id", "lat", "lng")).alias("p"))
+    tags = links(spark, sf_dir).join(_articles(spark, sf_dir).select("article_id", F.explode("tags").alias("t")), "article_id").groupBy("event_id").agg(F.collect_set("t").alias("e_tags"))  # a bounded vocabulary
+    events = table(spark, sf_dir, "news_events").filter("main_country is not null and last_seen_at is not null").select("event_id", F.col("main_country").alias("country"), F.col("last_seen_at").alias("seen_at"), "category", F.lower("source_code").alias("e_src"))
+    near = M.window_candidates(items, events.join(first, "event_id", "left").join(tags, "event_id", "left"), 24 * 7, 100)
+    shared = F.coalesce(F.arrays_overlap("tags", "e_tags"), F.lit(False))
+    near = near.filter(~F.coalesce(F.col("src") == F.col("e_src"), F.lit(False))).filter(shared | (F.size("tags") == 0) | F.col("e_tags").isNull())
     km = V.haversine_km(F.col("lat"), F.col("lng"), F.col("p.lat"), F.col("p.lng"))
     hours = F.abs(F.unix_timestamp("seen_at") - F.unix_timestamp("at")) / 3600
-    score = F.round(M.enrichment_score(hours, F.coalesce(F.array_contains("tags", F.col("category")), F.lit(False)), km, F.lit(True), F.col("category") == "disaster"), 6)
+    score = F.round(M.enrichment_score(hours, shared, km, F.col("lat").isNotNull() & F.col("p.lat").isNotNull(), F.col("category") == "disaster"), 6)
     best = near.withColumn("score", score).filter("score >= 0.45").groupBy("item_id").agg(F.max(F.struct("score", "seen_at", (-F.col("event_id")).alias("n"))).alias("b"))
     return best.select(F.col("item_id").alias("article_id"), (-F.col("b.n")).alias("event_id"), F.col("b.score").alias("score"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import NOW, WITH_PLACES, event_places, links
+from .common import NOW, WITH_PLACES, article_places, event_places, links
 
 #: Countries of the narrower scope; the others are the wider one.
 HOME = ["QM", "QN"]
@@ -98,7 +98,9 @@ def tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def globe_hotspots(spark: SparkSession, sf_dir: str, top: int = 200) -> DataFrame:
     """Places of the hottest events; an event without a place falls back to its country."""
     best = table(spark, sf_dir, "news_events").filter("heat_score is not null").orderBy(F.desc("heat_score"), "event_id").limit(top).select("event_id", "main_country", "heat_score")
-    places = event_places(spark, sf_dir).filter("geo_key is not null").groupBy("event_id", "geo_key").agg(F.max("confidence").alias("confidence"))
+    # Only the links of the hottest events meet the places.
+    kept = links(spark, sf_dir).join(F.broadcast(best.select("event_id")), "event_id", "left_semi")
+    places = kept.join(article_places(spark, sf_dir), "article_id").filter("geo_key is not null").groupBy("event_id", "geo_key").agg(F.max("confidence").alias("confidence"))
     joined = best.join(places, "event_id", "left")
     return joined.select("event_id", "heat_score", F.coalesce("geo_key", "main_country").alias("geo_key"), F.when(F.col("geo_key").isNull(), 0.45).otherwise(F.col("confidence")).alias("confidence"))
 
