@@ -36,7 +36,7 @@ from ..session import cut
 
 #: Words of the broadcast dictionary, their bytes with those of their ids, and the bytes of one word, at most; other words are joined.
 HOT_WORDS = 800_000
-HOT_BYTES = 48 << 20
+HOT_BYTES = 80 << 20
 HOT_LENGTH = 200
 TOKENIZER = "byte_bpe_50k.json"
 
