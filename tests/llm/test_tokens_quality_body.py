@@ -117,7 +117,7 @@ def test_main_body_of_other_sources(spark):
 def test_messages_equal_enumeration():
     model = B.train(300)
     x = next(p for p in pages(40, seed=3) if "<div>" in p["lines"] or "<article>" in p["lines"])
-    page = B.Page(x["title"], x["source_name"], x["lines"][:8], model["common"])
+    page = B.Page(x["title"], x["source_name"], x["lines"][:6], model["common"])
     got = B.marginals([page], model)
     forms, line_at, word_at, value = B._matrix([page], model["vocabulary"])
     own = B.own_potentials(forms, line_at, word_at, value, B.Forest([page]), model)
