@@ -36,6 +36,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -342,8 +343,7 @@ def marked_pages(docs: DataFrame, id_col: str, text_col: str, title_col: str, so
 
 def train(count: int = PAGES, marked: list[dict] | None = None, written: list[dict] | None = None) -> dict:
     """Line model and parent-child potentials from ``count`` written pages (or ``written``) and the ``marked`` ones."""
-    first = pages(count) if written is None else written
-    model = _fit(first)
+    first, model = _written(count) if written is None else (written, _fit(written))
     if not marked:
         return model
     made = [Page(x["title"], x["source_name"], x["lines"], model["common"]) for x in marked]
@@ -358,6 +358,13 @@ def train(count: int = PAGES, marked: list[dict] | None = None, written: list[di
     return _fit(first + kept)
 
 
+@lru_cache(maxsize=2)
+def _written(count: int) -> tuple[list[dict], dict]:
+    """The written pages and the model of these alone; the same in every query of a session."""
+    made = pages(count)
+    return made, _fit(made)
+
+
 def _fit(labelled: list[dict]) -> dict:
     seen: dict[str, int] = {}
     stories: dict[str, set] = {}
