@@ -5,10 +5,11 @@ from __future__ import annotations
 import difflib
 import html
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 # Words that say nothing about a title.
 TITLE_STOPWORDS = [
@@ -123,6 +124,40 @@ def held_within(x: Column, y: Column) -> Column:
     return F.when((F.length(shorter) >= 12) & F.contains(longer, shorter), 0.96).otherwise(0.0)
 
 
+#: Buckets of letters, how often one is counted in bits, and the buckets that one number holds.
+BAG_BUCKETS, BAG_TIMES, BAG_WIDTH = 80, 4, 16
+
+
+@F.pandas_udf(StructType([*(StructField(f"b{i}", LongType()) for i in range(BAG_BUCKETS // BAG_WIDTH)), StructField("rest", IntegerType())]))
+def letter_bag(text: pd.Series) -> pd.DataFrame:
+    """Letters of a text as bits, by bucket as many as it occurs, and how many there were beyond; one pass over a batch's code points."""
+    text = text.fillna("")
+    codes = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    rows = np.repeat(np.arange(len(text)), np.fromiter(map(len, text), np.int64, len(text)))
+    counts = np.bincount(rows * BAG_BUCKETS + codes % BAG_BUCKETS, minlength=len(text) * BAG_BUCKETS).reshape(len(text), BAG_BUCKETS)
+    bits = ((1 << np.minimum(counts, BAG_TIMES)) - 1).astype(np.uint64).reshape(len(text), -1, BAG_WIDTH) << (np.arange(BAG_WIDTH) * BAG_TIMES).astype(np.uint64)
+    words = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+    return pd.DataFrame({f"b{i}": words[:, i] for i in range(words.shape[1])} | {"rest": np.maximum(counts - BAG_TIMES, 0).sum(axis=1).astype(np.int32)})
+
+
+def most_letters(a: Column, b: Column) -> Column:
+    """At least as many letters as two texts share, from their bags."""
+    return sum((F.bit_count(a[f"b{i}"].bitwiseAND(b[f"b{i}"])) for i in range(BAG_BUCKETS // BAG_WIDTH)), F.least(a["rest"], b["rest"]))
+
+
+def word_bits(words: Column) -> Column:
+    """Distinct words of a list as two numbers with a bit for each, their count, and how many found their bit taken."""
+    bits = lambda half: F.aggregate(words, F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.when(F.xxhash64(w).bitwiseAND(64) == half * 64, F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(63).cast("int"))).otherwise(0)))
+    n = F.size(F.array_distinct(words))
+    return F.struct(bits(0).alias("low"), bits(1).alias("high"), n.alias("n"), (n - F.bit_count(bits(0)) - F.bit_count(bits(1))).alias("more"))
+
+
+def most_words(a: Column, b: Column) -> Column:
+    """At least as many words as two lists share, from their bits."""
+    common = F.bit_count(a["low"].bitwiseAND(b["low"])) + F.bit_count(a["high"].bitwiseAND(b["high"]))
+    return F.least(common + F.least(a["more"], b["more"]), a["n"], b["n"])
+
+
 def item_hash(url: Column, title: Column) -> Column:
     """Identity of an item."""
     return F.sha2(F.concat_ws("|", F.coalesce(url, F.lit("")), F.coalesce(title, F.lit(""))), 256)

@@ -110,6 +110,12 @@ def geo_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), bonus).otherwise(0.0)
 
 
+def key_bits(keys: Column) -> Column:
+    """Beginnings of a list's place keys as bits: lists that share none have no key equal to or within another's."""
+    bit = lambda k: F.when(F.length(k) < 2, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(F.substring(k, 1, 2)).bitwiseAND(63).cast("int")))
+    return F.aggregate(F.filter(keys, lambda k: k.isNotNull()), F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(bit(k)))
+
+
 def tier_adjustment(incoming: Column, candidate: Column, base: Column, geo: Column) -> Column:
     """Correction of a match by how far apart the trust of both sources is."""
     i, c = tier_order(incoming), tier_order(candidate)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..session import cut, staged
+from ..session import cut, small_side, staged
 
 #: Hours an event is open for further items.
 LOOKBACK_H = 72
@@ -24,6 +24,8 @@ LOOKBACK_H = 72
 LEAST_SCORE, LEAST_TITLE = 0.84, 0.55
 #: Latest events that an item is compared with; the feature is a top-k of candidates.
 CANDIDATES = 80
+#: What bounds are lowered by, so that no rounding loses a pair.
+SLACK = 1e-6
 
 
 def any_key_matches(incoming: DataFrame, stored: DataFrame, keys: dict[str, tuple[Column, Column]], id_col: str = "id") -> DataFrame:
@@ -39,20 +41,51 @@ def any_key_matches(incoming: DataFrame, stored: DataFrame, keys: dict[str, tupl
     return best.select("in_id", F.col("b.id").alias("id"), F.get(names, F.col("b.k")).alias("kind"))
 
 
+def numbered(items: DataFrame, events: DataFrame, hours: int = LOOKBACK_H) -> tuple[DataFrame, DataFrame]:
+    """Events with ``_g``, their place in their country by time, and items with ``_p``, how many events of their country were last seen before or with them.
+
+    items: (item_id, country, at, ...); events: (event_id, country, seen_at, ...).
+    Items without an event in the last ``hours`` are left out. Places are
+    counted within a country's day and carried on over its days, so no task
+    sorts a whole country.
+    """
+    day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
+    items, events = items.filter("country is not null and at is not null").withColumn("_d", day("at")), events.filter("country is not null and seen_at is not null").withColumn("_d", day("seen_at"))
+    seen = F.col("seen_at").alias("_s")
+    days = events.select("country", "_d", seen).unionByName(items.select("country", "_d", F.lit(None).cast(events.schema["seen_at"].dataType).alias("_s"))).groupBy("country", "_d").agg(F.count("_s").alias("_n"), F.max("_s").alias("_s"))
+    w = W.partitionBy("country").orderBy("_d").rowsBetween(W.unboundedPreceding, -1)
+    before = small_side(cut(days.select("country", "_d", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.max("_s").over(w).alias("_last"))))
+    w = W.partitionBy("country", "_d").orderBy("seen_at", F.desc("event_id"))
+    placed_events = events.withColumn("_g", F.row_number().over(w) - 1).join(before, ["country", "_d"]).withColumn("_g", F.col("_g") + F.col("_before")).drop("_d", "_before", "_last")
+    kept = [c for c in items.columns if c not in ("country", "_d")]
+    rows = items.select("country", "_d", F.col("at").alias("_t"), F.lit(None).cast(events.schema["seen_at"].dataType).alias("_s"), F.struct(*kept).alias("_i"))
+    rows = rows.unionByName(events.select("country", "_d", F.col("seen_at").alias("_t"), seen), allowMissingColumns=True)
+    w = W.partitionBy("country", "_d").orderBy("_t", F.col("_s").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.select("country", "_d", "_i", "_s", F.count("_s").over(w).alias("_p"), F.max("_s").over(w).alias("_l")).filter("_s is null").join(before, ["country", "_d"])
+    recent = F.coalesce("_l", "_last") >= F.col("_i.at") - F.expr(f"interval {hours} hours")
+    return placed.filter(recent).select("country", "_i.*", (F.col("_p") + F.col("_before")).alias("_p")), placed_events
+
+
+def paired(items: DataFrame, events: DataFrame, hours: int = LOOKBACK_H, most: int = CANDIDATES) -> DataFrame:
+    """Pairs of ``numbered`` items and events: the latest ``most`` up to the item, none older than ``hours``.
+
+    Events stand in blocks of ``most`` by their place, each under its own block
+    and the next; an item meets its block, at most twice ``most`` events
+    however many its country has, and no pair is moved.
+    """
+    block = lambda g: F.floor(g / most)
+    left = items.withColumn("_b", block(F.col("_p") - 1))
+    right = events.withColumn("_b", F.explode(F.array(block(F.col("_g")), block(F.col("_g")) + 1)))
+    near = left.join(right, ["country", "_b"]).filter((F.col("_g") < F.col("_p")) & (F.col("_g") >= F.col("_p") - most) & (F.col("seen_at") >= F.col("at") - F.expr(f"interval {hours} hours")))
+    return near.drop("_b", "_g", "_p")
+
+
 def window_candidates(items: DataFrame, events: DataFrame, hours: int = LOOKBACK_H, most: int = CANDIDATES) -> DataFrame:
     """Events of an item's country last seen within ``hours`` before it, the latest ``most``.
 
     items: (item_id, country, at, ...); events: (event_id, country, seen_at, ...).
-    The range becomes an equi-join on window-wide buckets, so a country that
-    holds a third of all rows is spread over time.
     """
-    width = hours * 3600
-    bucket = lambda c: F.floor(F.unix_timestamp(c) / width)
-    left = items.withColumn("_b", F.explode(F.array(bucket("at") - 1, bucket("at"))))
-    right = events.withColumn("_b", bucket("seen_at"))
-    near = left.join(right, ["country", "_b"]).filter((F.col("seen_at") <= F.col("at")) & (F.col("seen_at") >= F.col("at") - F.expr(f"interval {hours} hours"))).drop("_b")
-    w = W.partitionBy("item_id").orderBy(F.desc("seen_at"), "event_id")
-    return near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+    return paired(*numbered(items, events, hours), hours, most)
 
 
 def title_forms(df: DataFrame, title: str, prefix: str = "") -> DataFrame:
@@ -61,26 +94,57 @@ def title_forms(df: DataFrame, title: str, prefix: str = "") -> DataFrame:
     return staged(df, **{f"{prefix}x": F.regexp_replace("_normal", " ", ""), f"{prefix}tokens": T.tokens_of(F.col("_normal"))}).drop("_normal")
 
 
+def match_forms(df: DataFrame, title: str, prefix: str = "") -> DataFrame:
+    """``title_forms``, tags in normal form and, as numbers, what ``likely`` compares; rows without a title's letters match nothing and are left out."""
+    c = lambda name: prefix + name
+    none = F.array().cast("array<string>")
+    df = title_forms(df, title, prefix).drop(title).filter(F.col(c("x")) != "")
+    df = staged(df, _tags=V.normal_tags(F.coalesce(c("tags"), none))).drop(c("tags")).withColumnRenamed("_tags", c("tags"))
+    trust = F.lower(F.trim(F.coalesce(c("tier"), F.lit("authoritative"))))
+    made = {"n": F.length(c("x")), "token_bits": T.word_bits(F.col(c("tokens"))), "tag_bits": T.word_bits(F.col(c("tags"))), "key_bits": V.key_bits(F.coalesce(c("keys"), none)), "trust": trust, "trusted": V.tier_order(trust) >= 4}
+    return staged(df, **{c(k): e for k, e in made.items()}).withColumn(c("bag"), T.letter_bag(c("x")))
+
+
+def likely(candidates: DataFrame) -> DataFrame:
+    """Pairs of ``match_forms`` rows without those that cannot reach the least score.
+
+    Every part of the score is replaced by a bound from above: shared tokens,
+    tags and letters by common bits, place keys by their beginnings. The gestalt
+    ratio cannot exceed the share of letters that both titles have.
+    """
+    letters = F.least(T.most_letters(F.col("bag"), F.col("e_bag")), "n", "e_n")
+    tokens = T.most_words(F.col("token_bits"), F.col("e_token_bits"))
+    near = staged(candidates, _letters=letters, _tokens=tokens, _shared=T.most_words(F.col("tag_bits"), F.col("e_tag_bits")))  # staged, so that it is no part of the join's condition, whose code would be too long for the JIT
+    overlap = F.col("_tokens") / F.greatest(F.lit(1), F.col("token_bits.n") + F.col("e_token_bits.n") - F.col("_tokens"))
+    rest = (
+        F.least(F.lit(0.12), F.col("_shared") * F.lit(0.04)) + F.when(F.col("category") == F.col("e_category"), 0.08).otherwise(0.0) + 0.03
+        + F.when(F.col("key_bits").bitwiseAND(F.col("e_key_bits")) != 0, 0.14).otherwise(0.0) + F.when(F.col("trust") == F.col("e_trust"), 0.04).when(F.col("trusted") & F.col("e_trusted"), 0.02).otherwise(0.0)
+    )
+    near = staged(near.drop("bag", "e_bag"), _base=1.44 * F.col("_letters") / (F.col("n") + F.col("e_n")) + 0.28 * overlap, _rest=rest)
+    return near.filter((F.col("_letters") >= F.least("n", "e_n")) | ((F.col("_base") >= LEAST_TITLE - SLACK) & (F.col("_base") + F.col("_rest") >= LEAST_SCORE - SLACK))).drop("_letters", "_tokens", "_shared", "_base", "_rest")
+
+
 def match_events(candidates: DataFrame) -> DataFrame:
     """(item_id, event_id, score): the best event of each item at or above the least score.
 
     Needs x, e_x, tokens, e_tokens (see ``title_forms``), category, e_category,
     tags, e_tags, tier, e_tier, keys, e_keys. Equal titles need no ratio; others
     only where 0.72 * 2 * shorter / (both) + 0.28 * token overlap, which the
-    similarity cannot exceed, reaches the least one.
+    similarity cannot exceed, reaches the least one and, with all else that
+    counts, the least score.
     """
     x, y = F.col("x"), F.col("e_x")
     a, b = F.length(x), F.length(y)
-    full = candidates.filter("x <> '' and e_x <> ''")
-    same = full.filter("x = e_x").withColumn("base", F.lit(1.0))
-    other = staged(full.filter("x <> e_x"), _held=T.held_within(x, y), _shared=T.jaccard(F.col("tokens"), F.col("e_tokens")) * 0.28)
-    other = other.filter((F.col("_held") > 0) | (1.44 * F.least(a, b) / (a + b) + F.col("_shared") >= LEAST_TITLE))
-    other = other.withColumn("base", F.greatest(F.col("_held"), T.sequence_ratio(x, y) * 0.72 + F.col("_shared"))).filter(F.col("base") >= LEAST_TITLE).drop("_held", "_shared")
     none = F.array().cast("array<string>")
-    near = staged(same.unionByName(other), geo=V.geo_overlap(F.coalesce("keys", none), F.coalesce("e_keys", none)))
+    near = candidates.filter("x <> '' and e_x <> ''").withColumn("_same", x == y)
     overlap = F.size(F.array_intersect(V.normal_tags(F.coalesce("tags", none)), V.normal_tags(F.coalesce("e_tags", none))))
+    near = staged(near, _held=F.when(F.col("_same"), 1.0).otherwise(T.held_within(x, y)), _shared=T.jaccard(F.col("tokens"), F.col("e_tokens")) * 0.28, geo=V.geo_overlap(F.coalesce("keys", none), F.coalesce("e_keys", none)), _tags=F.least(F.lit(0.12), overlap * F.lit(0.04)), _kind=F.when(F.col("category") == F.col("e_category"), 0.08).otherwise(0.0))
+    most = staged(near, _most=F.greatest("_held", 1.44 * F.least(a, b) / (a + b) + F.col("_shared")))
+    near = most.filter((F.col("_most") >= LEAST_TITLE - SLACK) & (F.col("_most") + F.col("_tags") + F.col("_kind") + 0.07 + F.col("geo") >= LEAST_SCORE - SLACK)).drop("_most")
+    near = near.withColumn("_ratio", T.sequence_ratio(F.when(~F.col("_same"), x), F.when(~F.col("_same"), y)))
+    near = staged(near, base=F.when(F.col("_same"), 1.0).otherwise(F.greatest("_held", F.col("_ratio") * 0.72 + F.col("_shared")))).filter(F.col("base") >= LEAST_TITLE)
     score = (
-        F.col("base") + F.least(F.lit(0.12), overlap * F.lit(0.04)) + F.when(F.col("category") == F.col("e_category"), 0.08).otherwise(0.0) + 0.03 + F.col("geo")
+        F.col("base") + F.col("_tags") + F.col("_kind") + 0.03 + F.col("geo")
         + V.tier_adjustment(F.coalesce("tier", F.lit("authoritative")), F.coalesce("e_tier", F.lit("authoritative")), F.col("base"), F.col("geo"))
     )
     scored = near.withColumn("score", F.least(F.lit(1.0), score)).filter(F.col("score") >= LEAST_SCORE)

@@ -13,7 +13,7 @@ from ..operators.proximity import article_locations
 from ..session import cut, small_side, table
 from .articles import SQL as _ARTICLE_SQL
 from .articles import tokens_sql
-from .common import event_places, links
+from .common import links
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,21 +32,27 @@ def earlier_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.any_key_matches(a, stored, keys).filter("id < in_id").select(F.col("in_id").alias("article_id"), F.col("id").alias("first_id"), "kind")
 
 
-def _event_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = event_places(spark, sf_dir).filter("geo_key is not null").groupBy("event_id").agg(F.array_sort(F.collect_set("geo_key")).alias("e_keys"))
+def _event_sides(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """``events`` with the tier of their source and the place keys and tags of their articles."""
     sources = table(spark, sf_dir, "news_sources").select(F.col("code").alias("source_code"), F.col("source_tier").alias("e_tier"))
-    e = table(spark, sf_dir, "news_events").filter("main_country is not null and title is not null and last_seen_at is not null")
-    e = e.select("event_id", F.col("main_country").alias("country"), F.col("last_seen_at").alias("seen_at"), F.col("title").alias("e_title"), F.col("category").alias("e_category"), "source_code")
-    tags = links(spark, sf_dir).join(_articles(spark, sf_dir).select("article_id", F.explode("tags").alias("t")), "article_id").groupBy("event_id").agg(F.array_sort(F.collect_set(F.lower(F.trim("t")))).alias("e_tags"))  # a bounded vocabulary
-    full = e.join(small_side(sources), "source_code", "left").join(keys, "event_id", "left").join(tags, "event_id", "left").drop("source_code")
-    return M.title_forms(full, "e_title", "e_")
+    none = F.array().cast("array<string>")
+    said = _articles(spark, sf_dir).select("article_id", F.transform("geo_entities", lambda x: x.geo_key).alias("k"), F.transform("tags", lambda t: F.lower(F.trim(t))).alias("t"))
+    each = lambda c, i: F.transform(F.coalesce(c, none), lambda v: F.struct(F.lit(i).alias("i"), v.alias("v")))
+    said = links(spark, sf_dir).join(said, "article_id").select("event_id", F.explode(F.concat(each("k", 0), each("t", 1))).alias("s"))
+    of = lambda i: F.array_sort(F.collect_set(F.when(F.col("s.i") == i, F.col("s.v"))))
+    sides = said.groupBy("event_id").agg(of(0).alias("e_keys"), of(1).alias("e_tags"))  # bounded vocabularies
+    return events.join(small_side(sources), "source_code", "left").join(sides, "event_id", "left").drop("source_code")
 
 
 def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best open event of each article."""
     a = _articles(spark, sf_dir).filter("country is not null and title is not null and crawled_at is not null")
     items = a.select(F.col("article_id").alias("item_id"), "country", F.col("crawled_at").alias("at"), "title", "category", "tags", F.col("source_tier").alias("tier"), F.transform(F.coalesce("geo_entities", F.array().cast(a.schema["geo_entities"].dataType)), lambda x: x.geo_key).alias("keys"))
-    return M.match_events(M.window_candidates(M.title_forms(items, "title"), _event_side(spark, sf_dir)))
+    e = table(spark, sf_dir, "news_events").filter("main_country is not null and title is not null and last_seen_at is not null")
+    e = e.select("event_id", F.col("main_country").alias("country"), F.col("last_seen_at").alias("seen_at"), F.col("title").alias("e_title"), F.col("category").alias("e_category"), "source_code")
+    items, events = M.numbered(items, e)
+    near = M.paired(M.match_forms(items, "title"), M.match_forms(_event_sides(spark, sf_dir, events), "e_title", "e_"))
+    return M.match_events(M.likely(near))
 
 
 def alert_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
