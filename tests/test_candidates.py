@@ -75,3 +75,30 @@ def test_words_that_share_a_bit(spark):
     df = spark.createDataFrame([(words, words[100:]), ([], words), (["a"], ["b"])], "a array<string>, b array<string>")
     got = [r.n for r in df.select(T.most_words(T.word_bits(F.col("a")), T.word_bits(F.col("b"))).alias("n")).collect()]
     assert got[0] >= 200 and got[1] == 0 and got[2] <= 1
+
+
+def test_every_event_of_the_window_is_a_candidate(spark):
+    rnd = random.Random(14)
+    items, events = _rows(rnd, 200, [0, 1, 4, 5, 9, 30], _titles), _rows(rnd, 900, [0, 1, 2, 5, 8, 12], _titles)
+    near = lambda i, e: i[1] and i[2] and e[2] and e[1] == i[1] and dt.timedelta(0) <= i[2] - e[2] <= dt.timedelta(hours=72)
+    want = {(i[0], e[0]) for i in items for e in events if near(i, e)}
+    got = [(r.item_id, r.event_id) for r in M.window_candidates(spark.createDataFrame(items, ITEM), spark.createDataFrame(events, EVENT)).select("item_id", "event_id").collect()]
+    assert max(sum(p[0] == i[0] for p in want) for i in items) > 200 and len(got) == len(want) and set(got) == want
+
+
+def test_match_behind_hundreds_of_later_events(spark, data, tmp_path):
+    from pyspark.sql.types import StructField, StructType
+
+    from tidewire.plans import matching as P
+
+    for name in ("news_articles", "news_events", "news_sources", "event_articles"):
+        df = spark.read.parquet(f"{data}/{name}.parquet").limit(0)
+        schema = StructType([StructField(f.name, f.dataType) for f in df.schema])
+        at = dt.datetime(2026, 1, 5)
+        given = {
+            "news_articles": [{"article_id": 1, "country": "A", "crawled_at": at, "title": "Ferry to Tobala Gune sails again", "category": "transport"}],
+            "news_events": [{"event_id": 1, "main_country": "A", "last_seen_at": at - dt.timedelta(hours=72), "title": "Ferry to Tobala Gune sails again", "category": "transport"}]
+            + [{"event_id": 2 + i, "main_country": "A", "last_seen_at": at - dt.timedelta(minutes=i), "title": f"Grain {i}", "category": "economy"} for i in range(300)],
+        }.get(name, [])
+        spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in given], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [(r.item_id, r.event_id) for r in P.event_matches(spark, str(tmp_path)).collect()] == [(1, 1)]

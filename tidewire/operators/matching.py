@@ -22,8 +22,6 @@ from ..session import cut, small_side, staged
 LOOKBACK_H = 72
 #: Least score of a match, and least title similarity that is looked at.
 LEAST_SCORE, LEAST_TITLE = 0.84, 0.55
-#: Latest events that an item is compared with; the feature is a top-k of candidates.
-CANDIDATES = 80
 #: What bounds are lowered by, so that no rounding loses a pair.
 SLACK = 1e-6
 
@@ -66,25 +64,31 @@ def numbered(items: DataFrame, events: DataFrame, hours: int = LOOKBACK_H) -> tu
     return placed.filter(recent).select("country", "_i.*", (F.col("_p") + F.col("_before")).alias("_p")), placed_events
 
 
-def paired(items: DataFrame, events: DataFrame, hours: int = LOOKBACK_H, most: int = CANDIDATES) -> DataFrame:
-    """Pairs of ``numbered`` items and events: the latest ``most`` up to the item, none older than ``hours``.
+def paired(items: DataFrame, events: DataFrame, hours: int = LOOKBACK_H, most: int | None = None) -> DataFrame:
+    """Pairs of items and the events of their country last seen within ``hours`` before them: all, or of ``numbered`` ones the latest ``most``.
 
-    Events stand in blocks of ``most`` by their place, each under its own block
-    and the next; an item meets its block, at most twice ``most`` events
-    however many its country has, and no pair is moved.
+    All: events stand in blocks of ``hours``, each under its own block and the
+    next, so an item meets one block. The latest: blocks are of ``most`` events
+    by their place. No pair is moved.
     """
-    block = lambda g: F.floor(g / most)
-    left = items.withColumn("_b", block(F.col("_p") - 1))
-    right = events.withColumn("_b", F.explode(F.array(block(F.col("_g")), block(F.col("_g")) + 1)))
-    near = left.join(right, ["country", "_b"]).filter((F.col("_g") < F.col("_p")) & (F.col("_g") >= F.col("_p") - most) & (F.col("seen_at") >= F.col("at") - F.expr(f"interval {hours} hours")))
-    return near.drop("_b", "_g", "_p")
+    window = (F.col("seen_at") <= F.col("at")) & (F.col("seen_at") >= F.col("at") - F.expr(f"interval {hours} hours"))
+    if most is None:
+        block, of_item, of_event = (lambda s: F.floor(s / (hours * 3600))), F.unix_timestamp("at"), F.unix_timestamp("seen_at")
+    else:
+        block, of_item, of_event = (lambda g: F.floor(g / most)), F.col("_p") - 1, F.col("_g")
+        window &= (F.col("_g") < F.col("_p")) & (F.col("_g") >= F.col("_p") - most)
+    left = items.withColumn("_b", block(of_item))
+    right = events.withColumn("_b", F.explode(F.array(block(of_event), block(of_event) + 1)))
+    return left.join(right, ["country", "_b"]).filter(window).drop("_b", "_g", "_p")
 
 
-def window_candidates(items: DataFrame, events: DataFrame, hours: int = LOOKBACK_H, most: int = CANDIDATES) -> DataFrame:
-    """Events of an item's country last seen within ``hours`` before it, the latest ``most``.
+def window_candidates(items: DataFrame, events: DataFrame, hours: int = LOOKBACK_H, most: int | None = None) -> DataFrame:
+    """Events of an item's country last seen within ``hours`` before it, all or the latest ``most``.
 
     items: (item_id, country, at, ...); events: (event_id, country, seen_at, ...).
     """
+    if most is None:
+        return paired(items, events, hours)
     return paired(*numbered(items, events, hours), hours, most)
 
 
@@ -112,16 +116,15 @@ def likely(candidates: DataFrame) -> DataFrame:
     tags and letters by common bits, place keys by their beginnings. The gestalt
     ratio cannot exceed the share of letters that both titles have.
     """
-    letters = F.least(T.most_letters(F.col("bag"), F.col("e_bag")), "n", "e_n")
     tokens = T.most_words(F.col("token_bits"), F.col("e_token_bits"))
-    near = staged(candidates, _letters=letters, _tokens=tokens, _shared=T.most_words(F.col("tag_bits"), F.col("e_tag_bits")))  # staged, so that it is no part of the join's condition, whose code would be too long for the JIT
-    overlap = F.col("_tokens") / F.greatest(F.lit(1), F.col("token_bits.n") + F.col("e_token_bits.n") - F.col("_tokens"))
+    overlap = tokens / F.greatest(F.lit(1), F.col("token_bits.n") + F.col("e_token_bits.n") - tokens)
     rest = (
-        F.least(F.lit(0.12), F.col("_shared") * F.lit(0.04)) + F.when(F.col("category") == F.col("e_category"), 0.08).otherwise(0.0) + 0.03
+        F.least(F.lit(0.12), T.most_words(F.col("tag_bits"), F.col("e_tag_bits")) * F.lit(0.04)) + F.when(F.col("category") == F.col("e_category"), 0.08).otherwise(0.0) + 0.03
         + F.when(F.col("key_bits").bitwiseAND(F.col("e_key_bits")) != 0, 0.14).otherwise(0.0) + F.when(F.col("trust") == F.col("e_trust"), 0.04).when(F.col("trusted") & F.col("e_trusted"), 0.02).otherwise(0.0)
     )
-    near = staged(near.drop("bag", "e_bag"), _base=1.44 * F.col("_letters") / (F.col("n") + F.col("e_n")) + 0.28 * overlap, _rest=rest)
-    return near.filter((F.col("_letters") >= F.least("n", "e_n")) | ((F.col("_base") >= LEAST_TITLE - SLACK) & (F.col("_base") + F.col("_rest") >= LEAST_SCORE - SLACK))).drop("_letters", "_tokens", "_shared", "_base", "_rest")
+    base = F.greatest(F.lit(LEAST_TITLE), LEAST_SCORE - rest) - SLACK
+    need = F.least("n", "e_n", (base - 0.28 * overlap) * (F.col("n") + F.col("e_n")) / 1.44)  # one title within the other, or the ratio that the score lacks; one comparison, so that it is the join's own condition
+    return candidates.filter(T.most_letters(F.col("bag"), F.col("e_bag")) >= need).drop("bag", "e_bag")
 
 
 def match_events(candidates: DataFrame) -> DataFrame:

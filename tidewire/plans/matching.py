@@ -45,13 +45,12 @@ def _event_sides(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFra
 
 
 def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best open event of each article."""
+    """Best open event of each article, of all events of its country in the window."""
     a = _articles(spark, sf_dir).filter("country is not null and title is not null and crawled_at is not null")
     items = a.select(F.col("article_id").alias("item_id"), "country", F.col("crawled_at").alias("at"), "title", "category", "tags", F.col("source_tier").alias("tier"), F.transform(F.coalesce("geo_entities", F.array().cast(a.schema["geo_entities"].dataType)), lambda x: x.geo_key).alias("keys"))
     e = table(spark, sf_dir, "news_events").filter("main_country is not null and title is not null and last_seen_at is not null")
     e = e.select("event_id", F.col("main_country").alias("country"), F.col("last_seen_at").alias("seen_at"), F.col("title").alias("e_title"), F.col("category").alias("e_category"), "source_code")
-    items, events = M.numbered(items, e)
-    near = M.paired(M.match_forms(items, "title"), M.match_forms(_event_sides(spark, sf_dir, events), "e_title", "e_"))
+    near = M.paired(M.match_forms(items, "title"), M.match_forms(_event_sides(spark, sf_dir, e), "e_title", "e_"))
     return M.match_events(M.likely(near))
 
 
